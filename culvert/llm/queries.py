@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from culvert.llm import canonical_values, exact_copies, garbled, mixing, survivors, tokens
+from culvert.llm import canonical_values, exact_copies, garbled, linkage, mixing, survivors, tokens
 from culvert.sources.tables import table
 
 
@@ -56,6 +56,16 @@ def p6_distinct(spark: SparkSession, sf: str) -> DataFrame:
     return exact_copies.collapse(_keyed(spark, sf)).withColumnRenamed("kind", "record_kind")
 
 
+def p7_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Links of structure observations and surveyed assets with their confidence."""
+    return linkage.plan_set_links(*[table(spark, sf, t) for t in ("structures", "tiles", "pipes", "surveyed_assets", "canon_values")])
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of an observation and an asset that are the same real thing."""
+    return p7_links(spark, sf).select("obs_id", "asset_id")
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encode(table(spark, sf, "documents"))
@@ -83,7 +93,7 @@ def p10_restored(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p3_found, p3_unmatched, p5_found, p5_survivors, p5_truth, p6_found, p6_distinct, p8_ids, p9_mix, p9_shares, p10_found, p10_restored)
+    for f in (p3_found, p3_unmatched, p5_found, p5_survivors, p5_truth, p6_found, p6_distinct, p7_found, p7_links, p8_ids, p9_mix, p9_shares, p10_found, p10_restored)
 }
 
 ORACLES: dict[str, str] = {}
