@@ -278,9 +278,9 @@ def confident(voted: DataFrame) -> DataFrame:
 
 
 def consistent() -> Column:
-    """Exact check after the model: no attribute known on both sides contradicts, and a far position needs the same tag."""
+    """Exact check after the model: no attribute known on both sides contradicts, and a far position needs the same tag or the same kind in line."""
     side = (F.col("v_lateral") >= 0) | (F.col("v_tag") == 2)
-    place = (F.col("v_station") >= 0) | (F.col("v_tag") == 2)
+    place = (F.col("v_station") >= 0) | (F.col("v_tag") == 2) | ((F.col("v_lateral") == 2) & (F.col("v_kind") == 2))
     return (F.col("v_kind") >= 0) & (F.col("v_tag") >= 0) & side & place
 
 
