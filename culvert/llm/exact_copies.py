@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from culvert.runtime import collect_bounded
+from culvert.runtime import collect_bounded, durable
 
 
 def canonical_parts(text: Column) -> Column:
@@ -83,6 +83,7 @@ def copies(keyed: DataFrame, hot_share: float = 1 / 48) -> DataFrame:
 
 def plan_set_records(structures: DataFrame, pipes: DataFrame) -> DataFrame:
     """Keyed structures and pipes; the id and ``ingested_at`` are not compared."""
+    # the keys are needed several times and are small; the records themselves are digested once
     s = with_key(structures, "obs_id", ["ingested_at"], ["offset_txt"]).withColumn("kind", F.lit("structure"))
     p = with_key(pipes, "pipe_id", ["ingested_at"], ["size", "material"]).withColumn("kind", F.lit("pipe"))
-    return s.unionByName(p)
+    return durable(s.unionByName(p))
