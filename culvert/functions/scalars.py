@@ -156,11 +156,11 @@ def is_existing(text: Column) -> Column:
 
 def page_list(text: Column) -> Column:
     """``1-3,7`` as sorted distinct page numbers; null for blank; an inverted range or a page below 1 is an error."""
-    tokens = F.filter(F.transform(F.split(text, ","), F.trim), lambda t: t != "")
-    first = lambda t: F.trim(F.split_part(t, F.lit("-"), F.lit(1))).cast("int")
-    last = lambda t: F.when(F.contains(t, F.lit("-")), F.trim(F.split_part(t, F.lit("-"), F.lit(2))).cast("int")).otherwise(first(t))
+    tokens = F.filter(F.transform(F.split(text, ","), lambda t: F.trim(t)), lambda t: t != "")
+    first = lambda t: F.trim(F.split_part(t, F.lit("-"), F.lit(1))).try_cast("int")
+    last = lambda t: F.when(F.contains(t, F.lit("-")), F.trim(F.split_part(t, F.lit("-"), F.lit(2))).try_cast("int")).otherwise(first(t))
     ranges = F.transform(
-        tokens, lambda t: F.when((last(t) < first(t)) | (first(t) < 1), F.raise_error(F.concat(F.lit("invalid pages: "), t)).cast("array<int>")).otherwise(F.sequence(first(t), last(t)))
+        tokens, lambda t: F.when(first(t).isNull() | last(t).isNull() | (last(t) < first(t)) | (first(t) < 1), F.raise_error(F.concat(F.lit("invalid pages: "), t)).cast("array<int>")).otherwise(F.sequence(first(t), last(t)))
     )
     pages = F.array_sort(F.array_distinct(F.flatten(ranges)))
     return F.when(F.size(pages) > 0, pages)

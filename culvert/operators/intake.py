@@ -121,7 +121,7 @@ def sheet_index(lines: DataFrame) -> DataFrame:
     at = r"(?:^|[^A-Z0-9_])([A-Z]{1,4}\s*-?\s*[0-9]{1,3}[A-Z]?)(?:$|[^A-Z0-9_])"
     line = F.trim("line")
     label_raw = F.regexp_extract(F.upper(line), at, 1)
-    rest = F.substr(line, F.locate(label_raw, F.upper(line)) + F.length(label_raw))
+    rest = F.substr(line, F.position(label_raw, F.upper(line)) + F.length(label_raw))
     d = lines.filter("line is not null").select(
         "group_id", "pos", F.regexp_replace(F.regexp_replace(label_raw, r"[^A-Z0-9-]", ""), r"^([A-Z]+)-?", "$1-").alias("label"), F.regexp_replace(rest, r"^[ \-:\t]+|[ \-:\t]+$", "").alias("description"), label_raw.alias("raw")
     ).filter("raw <> '' and description <> ''")

@@ -24,6 +24,7 @@ from pyspark.sql import Window as W
 from culvert import config as C
 from culvert.functions import scalars as S
 from culvert.operators.merge import latest_tiles
+from culvert.runtime import durable
 
 PAGE = ["plan_id", "utility", "page_number"]
 FAR = float("inf")
@@ -128,8 +129,8 @@ def _inferred(pipes: DataFrame, nodes: DataFrame, missing: str, anchor: str) ->
 def matched_pipes(pipes: DataFrame, nodes: DataFrame) -> DataFrame:
     """Every pipe with both ends: a node or an orphan anchor, and its confidences."""
     texts = node_texts(nodes)
-    m = _side(pipes, texts, "from", F.lit(None).cast("string"))
-    m = _side(m, texts, "to", F.col("from_node"))
+    m = durable(_side(pipes, texts, "from", F.lit(None).cast("string")))
+    m = durable(_side(m, texts, "to", F.col("from_node")))
     for missing, anchor in (("to", "from"), ("from", "to")):
         got = _inferred(m, texts, missing, anchor)
         m = m.join(got, ["plan_id", "utility", "pipe_id"], "left").withColumns(

@@ -13,11 +13,12 @@ from culvert.sources.tables import table
 
 @dataclass
 class Network:
-    """Nodes after the crown filter, final edges, and quality per plan set."""
+    """Nodes after the crown filter, final edges, quality per plan set, and the matched pipes the edges come from."""
 
     nodes: DataFrame
     edges: DataFrame
     quality: DataFrame
+    matched: DataFrame | None = None
 
     def findings(self) -> DataFrame:
         return checks.run_all_checks(self.nodes, self.edges, self.quality)
@@ -26,16 +27,17 @@ class Network:
 def build_network(structures: DataFrame, pipes: DataFrame, tiles: DataFrame) -> Network:
     """Merge, match, last write, crown filter, reversed duplicates, orientation, quality: in this order.
 
-    Nodes and edges are used by many later steps, so they are materialised once each.
+    Nodes, matched pipes and edges are used by many later steps, so they are materialised once each.
     """
     raw_nodes = durable(merge.merged_nodes(structures, tiles))
-    drawn = durable(edges.last_write(match.matched_pipes(match.utility_pipes(pipes, tiles), raw_nodes)))
+    matched = durable(match.matched_pipes(durable(match.utility_pipes(pipes, tiles)), raw_nodes))
+    drawn = edges.last_write(matched)
     nodes = edges.crown_nodes(raw_nodes)
     e = edges.flag_crowns(drawn, nodes)
     e = edges.reversed_duplicates(e, nodes)
     e = edges.orient_by_gravity(e, nodes)
     records = structures.select("plan_id", "tile_id").unionByName(pipes.select("plan_id", "tile_id"))
-    return Network(nodes, durable(e), quality.quality_summary(records, tiles))
+    return Network(nodes, durable(e), quality.quality_summary(records, tiles), matched)
 
 
 def network_of(spark: SparkSession, folder: str) -> Network:

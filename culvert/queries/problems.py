@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from culvert.operators import nested, orphan_refs, units
+from culvert.operators.orphan_refs import NOISE_WORDS
 from culvert.sources.tables import table
 
 
@@ -65,3 +66,26 @@ def p4_values(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_structures, p2_inverts, p2_text_refs, p2_items, p4_found, p4_values)}
+
+_CLEAN = rf"regexp_replace(upper({{x}}), '\b(?:{NOISE_WORDS})\b\.?', ' ; ', 'g')"
+_TOKEN = r"regexp_replace(regexp_replace({x}, '[^A-Z0-9]', '', 'g'), '^([A-Z]*)0+([0-9])', '\1\2')"
+_TOKENS = "list_transform(regexp_extract_all(" + _CLEAN + r", '(?:^|[^A-Z0-9])([A-Z]{{0,4}}[\s._\-]*[0-9]+[A-Z]?)', 1), lambda z: " + _TOKEN.replace("{x}", "z") + ")"
+
+
+def _tokens(column: str) -> str:
+    return _TOKENS.replace("{x}", column).replace("{{", "{").replace("}}", "}")
+
+
+_P1 = f"""with c as (select callout_id, plan_id, extracted_at tm, reference_sheet rs, reference_detail rd from callouts where extracted_at is not null),
+  s as (select plan_id, cast(page_number as varchar) k, registered_at a, voided_at b from sheets union all select plan_id, {_tokens('sheet_label')}[1], registered_at, voided_at from sheets),
+  d as (select {_tokens('detail_code')}[1] k, registered_at a, withdrawn_at b from detail_register),
+  rs as (select callout_id id, plan_id, tm, rs raw, unnest({_tokens('rs')}) k from c where rs is not null and plan_id is not null),
+  rd as (select callout_id id, tm, rd raw, unnest({_tokens('rd')}) k from c where rd is not null),
+  t as (select obs_id id, plan_id, tile_id, extracted_at tm, unnest(source_text_ids) k from structures where extracted_at is not null and plan_id is not null and tile_id is not null),
+  l as (select plan_id, tile_id, created_at a, retired_at b, unnest(list_transform(text_items, lambda i: i.text_id)) k from text_layers where text_items is not null),
+  f as (select 'reference_sheet' ref_field, id record_id, raw ref_key, tm from rs where not exists (select 1 from s where s.plan_id = rs.plan_id and s.k = rs.k and s.a <= rs.tm and (s.b is null or rs.tm < s.b))
+   union all select 'reference_detail', id, raw, tm from rd where not exists (select 1 from d where d.k = rd.k and d.a <= rd.tm and (d.b is null or rd.tm < d.b))
+   union all select 'source_text_ids', id, cast(k as varchar), tm from t where k is not null and not exists (select 1 from l where l.plan_id = t.plan_id and l.tile_id = t.tile_id and l.k = t.k and l.a <= t.tm and (l.b is null or t.tm < l.b)))
+"""
+
+ORACLES = {"p1_found": _P1 + "select distinct ref_field, record_id, ref_key from f"}
