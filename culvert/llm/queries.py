@@ -96,4 +96,42 @@ QUERIES = {
     for f in (p3_found, p3_unmatched, p5_found, p5_survivors, p5_truth, p6_found, p6_distinct, p7_found, p7_links, p8_ids, p9_mix, p9_shares, p10_found, p10_restored)
 }
 
-ORACLES: dict[str, str] = {}
+_NOTHING = ",".join(f"'{w}'" for w in survivors.NOTHING_KNOWN)
+
+
+def _says(column: str) -> str:
+    bare = f"regexp_replace(lower({column}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+    return f"{column} is not null and {bare} <> '' and {bare} not in ({_NOTHING})"
+
+
+_HAS = {
+    "rim_elevation": "rim_elevation is not null and len(list_filter(rim_elevation_values, lambda v: round(v*100) = round(rim_elevation*100))) > 0",
+    "size": _says("size"),
+    "notes": _says("notes"),
+}
+_P5 = "with r as (select *, count(*) over (partition by plan_id, node_id) n, row_number() over (partition by plan_id, node_id order by case when sanitized = false then 0 else 1 end, variants_count desc nulls last, merged_at desc nulls last, merged_id) o from merged_structures where plan_id is not null and node_id is not null) " + " union all ".join(
+    f"select plan_id, node_id, '{f}' field_name, arg_min(merged_id, o) merged_id from r where n >= 2 and {has} group by 1, 2" for f, has in _HAS.items()
+)
+
+
+def _parts(column: str) -> str:
+    t = f"lower(translate({column}, '∅⌀', 'øø'))"
+    for marks, plain in (("′’‘´`ʹ＇", "''"), ("″”“ʺ＂", '"')):
+        t = f"regexp_replace({t}, '[{marks}]', '{plain}', 'g')"
+    t = f"regexp_replace({t}, '''\\s*''', '\"', 'g')"
+    numbers, marks = f"list_sort(regexp_extract_all({t}, '\\d+(?:\\.\\d+)?|\\.\\d+'))", f"list_sort(regexp_extract_all({t}, '[''\"]'))"
+    letters = f"list_sort(string_split(regexp_replace({t}, '[^\\p{{L}}]+', '', 'g'), ''))"
+    return f"case when {column} is not null then concat_ws('|', array_to_string({numbers}, ' '), array_to_string({marks}, ''), array_to_string({letters}, '')) end"
+
+
+def _copies_of(kind: str, table_name: str, key: str, loose: list[str]) -> str:
+    changed = ", ".join(f"{_parts(c)} as {c}" for c in loose)
+    keyed = f"select id, cast(to_json(t) as varchar) k from (select {key} as id, * exclude ({key}, ingested_at) replace ({changed}) from {table_name}) t"
+    stripped = f"select id, regexp_replace(k, '^.\"id\":[0-9]+,', '') k from ({keyed})"
+    return f"select '{kind}' record_kind, first_id, id copy_id from (select id, min(id) over (partition by k) first_id from ({stripped})) where id <> first_id"
+
+
+ORACLES = {
+    "p5_found": _P5,
+    "p6_found": _copies_of("structure", "structures", "obs_id", ["offset_txt"]) + " union all " + _copies_of("pipe", "pipes", "pipe_id", ["size", "material"]),
+}
