@@ -127,6 +127,12 @@ def _recode(text: str, wrong: str, right: str) -> str | None:
         return None
 
 
+@cache
+def _span_repair() -> SpanRepair:
+    """One automaton per Python worker."""
+    return SpanRepair()
+
+
 @cache
 def _bytes_of(encoding: str) -> dict[str, int]:
     back = {chr(b): b for b in range(256)}
@@ -185,7 +191,8 @@ def _one_for_one(text: str) -> tuple[str, list[str]]:
         apply(_EUC_SPAN, "cp1252", "euc_jp", "euc_jp read as cp1252", japanese)
     runs = [r for r in map(lambda m: _recode(m.group(), "cp1252", "cp1251") or "", _WESTERN_RUN.finditer(text)) if _CYR_WORD.fullmatch(r) and _like_a_word(r)]
     runs = [r for r in runs if r != r.upper() or len(r) >= 5]
-    if (any(len(r) >= 4 for r in runs) or len(runs) >= 2) and 3 * len(_UTF8_AS_WESTERN.findall(text)) < sum(map(len, runs)):
+    # garbled UTF-8 can leave such runs as well; it then explains more of the text than they do
+    if (any(len(r) >= 4 for r in runs) or len(runs) >= 2) and sum(end - start for start, end, *_ in _span_repair().spans(text)) < sum(map(len, runs)):
         apply(_WESTERN_WORD, "cp1252", "cp1251", "cp1251 read as cp1252", lambda w: bool(_CYR_WORD.fullmatch(w)) and _like_a_word(w))
     return text, used
 
@@ -220,19 +227,13 @@ def _after_spans(text: str) -> tuple[str, list[str]]:
     return text, used
 
 
-_repair: SpanRepair | None = None
-
-
 def restore(text: str | None, passes: int = 4) -> tuple[bool, str | None, list[str]]:
     """(affected, text with all recognised spans restored, encodings at fault)."""
-    global _repair
     if not text or text.isascii():
         return False, text, []
-    if _repair is None:
-        _repair = SpanRepair()
     text, faults = _one_for_one(text)
     for _ in range(passes):
-        text, used = _repair.once(text)
+        text, used = _span_repair().once(text)
         if not used:
             break
         faults += [f"utf_8 read as {e}" for e in dict.fromkeys(used)]

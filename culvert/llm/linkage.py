@@ -87,7 +87,7 @@ def match_streets(drawn: DataFrame, named: DataFrame) -> DataFrame:
     exact = n.join(drawn, F.col("n_base") == F.col("base")).filter(compatible).select("name", "base", "suffix", F.lit(True).alias("exact")).distinct()
     rest = n.join(exact.select("name").distinct(), "name", "left_anti")
     last = F.element_at(F.split("n_base", " "), -1)
-    misspelt = F.coalesce(*[F.when(F.levenshtein(last, F.lit(s)) <= (2 if len(s) >= 6 else 1), F.lit(s)) for s in SUFFIXES], F.lit(""))
+    misspelt = F.coalesce(*[F.when(F.levenshtein(last, F.lit(s)) <= (2 if len(s) >= 5 else 1), F.lit(s)) for s in SUFFIXES], F.lit(""))
     cut_base = F.regexp_replace("n_base", r" [^ ]+$", "")
     forms = rest.select(
         "name",
@@ -209,46 +209,58 @@ def votes(pairs: DataFrame) -> DataFrame:
 class LabelModel:
     """Latent-class model of vote patterns with a dependency tree of the functions per class."""
 
-    def __init__(self, patterns: dict[tuple, int], rounds: int = 40, smoothing: float = 0.5):
+    def __init__(self, patterns: dict[tuple, int], rounds: int = 30, smoothing: float = 0.5, least_information: float = 0.02):
         self.rows = sorted(patterns.items())
         self.k = len(self.rows[0][0]) if self.rows else 0
         self.values = [sorted({p[j] for p, _ in self.rows}) for j in range(self.k)]
         self.smoothing = smoothing
         # start from the vote balance, a disagreement weighing more than an agreement
         q = {p: 1 / (1 + math.exp(-(sum(v for v in p[:-1] if v > 0) + 3 * sum(v for v in p[:-1] if v < 0) - 2.5))) for p, _ in self.rows}
+        # the classes are found with independent functions; only what they leave unexplained is then a correlation
         for _ in range(rounds):
-            self.trees = [self._fit(lambda p, c=c: q[p] if c else 1 - q[p]) for c in (0, 1)]
-            total = sum(n for _, n in self.rows)
-            self.prior = min(max(sum(q[p] * n for p, n in self.rows) / max(total, 1), 1e-3), 1 - 1e-3)
-            q = {p: self.posterior(p) for p, _ in self.rows}
-
-    def _fit(self, weight) -> dict:
-        """Chow-Liu tree: parents by mutual information, smoothed conditional tables."""
-        w = [(p, n * weight(p)) for p, n in self.rows]
-        total = sum(x for _, x in w) or 1e-9
+            q = self._round(q, [{}, {}])
+        parents = [self._tree(self._tables(q, c), least_information) for c in (0, 1)]
+        for _ in range(5):
+            q = self._round(q, parents)
+
+    def _round(self, q: dict, parents: list[dict]) -> dict:
+        self.trees = [self._tables(q, c) | {"parent": parents[c]} for c in (0, 1)]
+        total = sum(n for _, n in self.rows)
+        self.prior = min(max(sum(q[p] * n for p, n in self.rows) / max(total, 1), 1e-3), 1 - 1e-3)
+        return {p: self.posterior(p) for p, _ in self.rows}
+
+    def _tables(self, q: dict, c: int) -> dict:
+        """Weighted counts of single votes and pairs of votes in one class."""
         single = [defaultdict(float) for _ in range(self.k)]
         double = {ij: defaultdict(float) for ij in combinations(range(self.k), 2)}
-        for p, x in w:
+        total = 1e-9
+        for p, n in self.rows:
+            x = n * (q[p] if c else 1 - q[p])
+            total += x
             for j in range(self.k):
                 single[j][p[j]] += x
             for i, j in double:
                 double[i, j][p[i], p[j]] += x
+        return {"total": total, "single": single, "double": double}
+
+    def _tree(self, t: dict, least: float) -> dict:
+        """Chow-Liu forest: each function's parent, where the two share at least some information within the class."""
         info = {
-            (i, j): sum(x / total * math.log(x * total / (single[i][a] * single[j][b])) for (a, b), x in t.items() if x > 1e-12)
-            for (i, j), t in double.items()
+            (i, j): sum(x / t["total"] * math.log(x * t["total"] / (t["single"][i][a] * t["single"][j][b])) for (a, b), x in d.items() if x > 1e-12)
+            for (i, j), d in t["double"].items()
         }
-        inside, parent, order = {0}, {0: None}, [0]
+        inside, parent = {0}, {}
         while len(inside) < self.k:
             i, j = max(((a, b) for a in inside for b in range(self.k) if b not in inside), key=lambda ab: info[min(ab), max(ab)])
             inside.add(j)
-            parent[j] = i
-            order.append(j)
-        return {"total": total, "single": single, "double": double, "parent": parent, "order": order}
+            if info[min(i, j), max(i, j)] >= least:
+                parent[j] = i
+        return parent
 
     def _likelihood(self, tree: dict, p: tuple) -> float:
         out, s = 0.0, self.smoothing
-        for j in tree["order"]:
-            own, up = tree["single"][j], tree["parent"][j]
+        for j in range(self.k):
+            own, up = tree["single"][j], tree["parent"].get(j)
             marginal = (own[p[j]] + s) / (tree["total"] + s * len(self.values[j]))
             if up is None:
                 out += math.log(marginal)
