@@ -26,6 +26,9 @@ from culvert.functions import scalars as S
 from culvert.operators.merge import latest_tiles
 from culvert.runtime import durable
 
+PIPE_COLUMNS = [
+    "pipe_id", "plan_id", "tile_id", "page_number", "pipe_type", "size", "material", "length_lf", "slope", "from_station", "to_station", "from_structure_hint", "to_structure_hint", "notes", "source_text_ids",
+]
 PAGE = ["plan_id", "utility", "page_number"]
 FAR = float("inf")
 
@@ -38,6 +41,7 @@ def utility_pipes(pipes: DataFrame, tiles: DataFrame) -> DataFrame:
     """
     meta = latest_tiles(tiles).select("plan_id", "tile_id", F.coalesce("sanitized", F.lit(False)).alias("sanitized"), F.coalesce("coherence_score", F.lit(1.0)).alias("source_coherence"), F.lower(F.trim("sheet_type")).alias("sheet_type"))
     utility = F.upper(F.trim("pipe_type"))
+    pipes = pipes.select(*PIPE_COLUMNS)
     p = pipes.filter("plan_id is not null and page_number is not null and tile_id is not null").withColumn("utility", utility).filter(F.col("utility").isin(*C.UTILITIES))
     tile = ["plan_id", "utility", "tile_id"]
     before = (

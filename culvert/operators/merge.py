@@ -24,6 +24,9 @@ from culvert import config as C
 from culvert.functions import scalars as S
 
 INVERT = "struct<direction:string,pipe_size:string,pipe_type:string,elevation:double,source_text_ids:array<int>>"
+STRUCTURE_COLUMNS = [
+    "obs_id", "plan_id", "tile_id", "page_number", "id", "structure_type", "size", "station", "offset_txt", "rim_elevation", "tc_elevation", "fl_elevation", "inverts", "is_existing", "notes", "source_text_ids",
+]
 PLACE = ["plan_id", "utility", "page_number", "kind"]
 
 
@@ -46,7 +49,8 @@ def utility_observations(structures: DataFrame, tiles: DataFrame) -> DataFrame:
     """Observations of every utility they belong to, with parsed position, rank and tile state."""
     meta = latest_tiles(tiles).select("plan_id", "tile_id", F.coalesce("sanitized", F.lit(False)).alias("sanitized"))
     inverts = S.no_nulls(F.col("inverts"), f"array<{INVERT}>")
-    s = structures.filter("plan_id is not null and page_number is not null").withColumns(
+    # only the columns of the operator, so that other columns cannot clash
+    s = structures.select(*STRUCTURE_COLUMNS).filter("plan_id is not null and page_number is not null").withColumns(
         {
             "inverts": inverts,
             "source_text_ids": S.no_nulls(F.col("source_text_ids"), "array<int>"),

@@ -21,7 +21,7 @@ import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -173,20 +173,19 @@ def link_by_containment(nodes: list[dict]) -> list[dict]:
 
 def flatten_records(raw: DataFrame) -> DataFrame:
     """All nodes of all payloads, one row each, labelled and linked."""
-    names = [c.split()[0] for c in NODE_SCHEMA.split(", ")]
+    types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
+    schema = pa.schema([(name, types[kind]) for name, kind in (c.split() for c in NODE_SCHEMA.split(", "))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for raw_id, kind, payload in zip(batch["raw_id"], batch["record_kind"], batch["payload"]):
+            for raw_id, kind, payload in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 value = read_payload(payload)
                 if value is not None:
                     out += [{"raw_id": raw_id, **n} for n in link_by_containment(label_nodes(value, kind))]
-            frame = pd.DataFrame(out, columns=names)
-            frame["ref_id"] = frame["ref_id"].astype("Int64")
-            yield frame
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return raw.filter("payload is not null").select("raw_id", "record_kind", "payload").mapInPandas(run, NODE_SCHEMA)
+    return raw.filter("payload is not null").select(F.col("raw_id").cast("bigint"), "record_kind", "payload").mapInArrow(run, NODE_SCHEMA)
 
 
 def node_table(nodes: DataFrame, kind: str) -> DataFrame:
