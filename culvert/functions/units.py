@@ -79,6 +79,12 @@ def length_scale(code: Column) -> Column:
     return _map({c: s for c, (_, s, _, _) in LENGTH_UNITS.items()})[code]
 
 
+def to_feet(number: Column, code: Column) -> Column:
+    """A number of a length unit in feet: scaled and shifted."""
+    shift = _map({c: o for c, (_, _, o, _) in LENGTH_UNITS.items()})[code]
+    return number * length_scale(code) + shift
+
+
 def station_number(text: Column) -> Column:
     """Plus-notation is hundreds of the unit; otherwise the first number."""
     plus = r"(\d{1,4})\s*\+\s*(\d{1,3}(?:\.\d+)?)"

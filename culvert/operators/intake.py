@@ -8,8 +8,6 @@ go to the font seen first; texts without any keyword are ``other``; empty tables
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F

@@ -83,7 +83,7 @@ def common_values(structures: DataFrame, pipes: DataFrame, tiles: DataFrame) ->
     is_size, is_slope = F.col("field_name") == "size", F.col("field_name") == "slope"
     common = F.when(is_size, "size_inch").when(is_slope, "frac").otherwise("ft")
     code = F.coalesce(F.when(is_size, _size_code(F.col("unit"))).otherwise(F.col("unit")), common)
-    length = F.col("number") * U.length_scale(F.coalesce(F.when(~is_slope, F.col("unit")), F.when(is_size, F.lit("inch")).otherwise(F.lit("ft"))))
+    length = U.to_feet(F.col("number"), F.coalesce(F.when(~is_slope, F.col("unit")), F.when(is_size, F.lit("inch")).otherwise(F.lit("ft"))))
     slope = F.when(code == "one_in_n", F.when(F.col("number") != 0, 1.0 / F.col("number"))).otherwise(F.col("number") * U._map(U.SLOPE_SCALE)[code])
     value = F.when(is_slope, slope).when(is_size, length * 12.0).otherwise(length)
     return both.select("record_kind", "record_id", "field_name", "number", code.alias("unit_code"), value.alias("common_value"))

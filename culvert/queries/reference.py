@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from culvert.functions import scalars as S
-from culvert.operators import checks, edges, intake, match, merge, payload, quality, references, report, validation
+from culvert.operators import checks, intake, match, merge, payload, quality, references, report, validation
 from culvert.plans.network import Network, network_of
+from culvert.queries import oracles
 from culvert.sources.json_files import pair_with_layers, page_tiers
 from culvert.sources.tables import table
 
@@ -321,4 +322,4 @@ QUERIES = {
     )
 }
 
-from culvert.queries.oracles import ORACLES  # noqa: E402,F401
+ORACLES = oracles.ORACLES
