@@ -47,7 +47,7 @@ def matches_utility(kind: Column, utility: Column, has_inverts: Column) -> Colum
 
 def utility_observations(structures: DataFrame, tiles: DataFrame) -> DataFrame:
     """Observations of every utility they belong to, with parsed position, rank and tile state."""
-    meta = latest_tiles(tiles).select("plan_id", "tile_id", F.coalesce("sanitized", F.lit(False)).alias("sanitized"))
+    meta = latest_tiles(tiles).select("plan_id", "tile_id", F.coalesce("sanitized", F.lit(False)).alias("sanitized"), "coherence_score")
     inverts = S.no_nulls(F.col("inverts"), f"array<{INVERT}>")
     # only the columns of the operator, so that other columns cannot clash
     s = structures.select(*STRUCTURE_COLUMNS).filter("plan_id is not null and page_number is not null").withColumns(
@@ -98,23 +98,25 @@ def exact_merge(obs: DataFrame) -> DataFrame:
         S.distinct_sorted(F.collect_set("tile_id")).alias("source_tile_ids"),
         S.distinct_sorted(F.flatten(F.collect_set("ids"))).alias("source_text_ids"),
         F.bool_or("sanitized").alias("sanitized"),
+        F.min("coherence_score").alias("min_coherence"),
         F.count("*").alias("variants_count"),
         F.array_sort(F.array_distinct(F.transform(F.collect_set(F.when(~F.isnan("rim_elevation"), F.col("rim_elevation"))), lambda v: F.round(v, 4)))).alias("rim_values"),
         F.min(F.struct("tile_id", "obs_id")).alias("first_seen"),
     )
     return grouped.select(
         *PLACE, "key", "best.structure_type", "best.station", F.col("best.offset_text").alias("offset"), "best.station_ft", "best.offset_ft", "best.inverts", "id", "size",
-        "rim_elevation", "tc_elevation", "fl_elevation", "is_existing", F.col("n.notes").alias("notes"), "source_tile_ids", "source_text_ids", "sanitized", "variants_count", "rim_values", "first_seen",
+        "rim_elevation", "tc_elevation", "fl_elevation", "is_existing", F.col("n.notes").alias("notes"), "source_tile_ids", "source_text_ids", "sanitized", "min_coherence", "variants_count", "rim_values", "first_seen",
     )
 
 
 def leaders(merged: DataFrame) -> DataFrame:
-    """Adds ``run`` and ``leader``: rows with the same pair form one node; ``seat`` is the order within it."""
+    """Adds ``leader``: rows of a place with the same leader form one node; ``seat`` is the order within it."""
     order = W.partitionBy(*PLACE).orderBy(F.col("station_ft").asc_nulls_last(), "first_seen")
     gap = F.col("station_ft") - F.lag("station_ft").over(order)
     starts = F.when(F.col("station_ft").isNull() | gap.isNull() | (gap > C.MERGE_STATION_FT), 1).otherwise(0)
     seated = merged.withColumn("seat", F.row_number().over(order)).withColumn("starts", starts).withColumn("run", F.sum("starts").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    item = F.struct("seat", F.col("station_ft").alias("st"), F.col("offset_ft").alias("off"))
+    rest = [c for c in merged.columns if c not in PLACE]
+    item = F.struct("seat", F.struct(*rest).alias("row"))
     state = "array<struct<seat:int,st:double,off:double,of:int>>"
 
     def fold(acc: Column, x: Column) -> Column:
@@ -128,9 +130,12 @@ def leaders(merged: DataFrame) -> DataFrame:
         of = F.coalesce(F.get(F.transform(accepts, lambda a: a["seat"]), F.lit(0)), x["seat"])
         return F.concat(acc, F.array(F.struct(x["seat"].alias("seat"), x["st"].alias("st"), x["off"].alias("off"), of.alias("of"))))
 
+    # a run is short, so its rows travel with it and need no join afterwards
     runs = seated.groupBy(*PLACE, "run").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    members = runs.select(*PLACE, F.explode(F.aggregate("items", F.array().cast(state), fold)).alias("m")).select(*PLACE, F.col("m.seat").alias("seat"), F.col("m.of").alias("leader"))
-    return seated.drop("starts").join(members, [*PLACE, "seat"])
+    places = F.transform("items", lambda i: F.struct(i["seat"].alias("seat"), i["row"]["station_ft"].alias("st"), i["row"]["offset_ft"].alias("off")))
+    led = runs.withColumn("led", F.aggregate(places, F.array().cast(state), fold))
+    one = led.select(*PLACE, F.explode(F.arrays_zip("items", "led")).alias("z"))
+    return one.select(*PLACE, F.col("z.items.seat").alias("seat"), F.col("z.led.of").alias("leader"), "z.items.row.*")
 
 
 def collapse(led: DataFrame) -> DataFrame:
@@ -148,6 +153,7 @@ def collapse(led: DataFrame) -> DataFrame:
         S.distinct_sorted(F.flatten(F.collect_list("source_tile_ids"))).alias("source_tile_ids"),
         S.distinct_sorted(F.flatten(F.collect_list("source_text_ids"))).alias("source_text_ids"),
         F.bool_or("sanitized").alias("sanitized"),
+        F.coalesce(F.min("min_coherence"), F.lit(1.0)).alias("min_coherence"),
         F.sum("variants_count").alias("variants_count"),
         S.distinct_sorted(F.flatten(F.collect_list("rim_values"))).alias("rim_values"),
     )
@@ -155,7 +161,7 @@ def collapse(led: DataFrame) -> DataFrame:
     nodes = nodes.select(
         "plan_id", "utility", "page_number", "kind", "best.structure_type", "best.station", "best.offset", "best.station_ft", "best.offset_ft", "best.inverts",
         F.coalesce(blank(F.col("best.id")), "any_id").alias("id"), F.coalesce(blank(F.col("best.size")), "any_size").alias("size"),
-        "rim_elevation", "tc_elevation", "fl_elevation", "is_existing", F.col("n.notes").alias("notes"), "source_tile_ids", "source_text_ids", "sanitized", "variants_count", "rim_values",
+        "rim_elevation", "tc_elevation", "fl_elevation", "is_existing", F.col("n.notes").alias("notes"), "source_tile_ids", "source_text_ids", "sanitized", "min_coherence", "variants_count", "rim_values",
     )
     return nodes.withColumns(
         {
@@ -165,14 +171,6 @@ def collapse(led: DataFrame) -> DataFrame:
     )
 
 
-def with_coherence(nodes: DataFrame, tiles: DataFrame) -> DataFrame:
-    """Adds the least coherence of the source tiles; 1.0 where none is known."""
-    meta = latest_tiles(tiles).select("plan_id", "tile_id", "coherence_score")
-    keys = ["plan_id", "utility", "node_id"]
-    least = nodes.select(*keys, F.explode("source_tile_ids").alias("tile_id")).join(meta, ["plan_id", "tile_id"]).groupBy(*keys).agg(F.min("coherence_score").alias("min_coherence"))
-    return nodes.join(least, keys, "left").withColumn("min_coherence", F.coalesce("min_coherence", F.lit(1.0)))
-
-
 def merged_nodes(structures: DataFrame, tiles: DataFrame) -> DataFrame:
-    """Structure nodes of all plan sets and utilities."""
-    return with_coherence(collapse(leaders(exact_merge(utility_observations(structures, tiles)))), tiles)
+    """Structure nodes of all plan sets and utilities, with the least coherence of their tiles (1.0 where none is known)."""
+    return collapse(leaders(exact_merge(utility_observations(structures, tiles))))
