@@ -290,9 +290,15 @@ def confident(voted: DataFrame) -> DataFrame:
 
 
 def consistent() -> Column:
-    """Exact check after the model: no attribute known on both sides contradicts, and a far position needs the same tag or the same kind in line."""
+    """Exact check after the model: no attribute known on both sides contradicts.
+
+    A far position needs the same tag, or the same kind and no other rim level; how much such a pair is
+    worth is left to the posterior.  The same rim level does not excuse the other side of the line:
+    twins facing each other there have equal rims.
+    """
     side = (F.col("v_lateral") >= 0) | (F.col("v_tag") == 2)
-    place = (F.col("v_station") >= 0) | (F.col("v_tag") == 2) | ((F.col("v_lateral") == 2) & (F.col("v_kind") == 2))
+    same_kind = F.col("v_kind") == 2
+    place = (F.col("v_station") >= 0) | (F.col("v_tag") == 2) | (same_kind & ((F.col("v_lateral") == 2) | (F.col("v_rim") >= 0)))
     return (F.col("v_kind") >= 0) & (F.col("v_tag") >= 0) & side & place
 
 

@@ -57,6 +57,22 @@ def test_precision_and_recall(spark, case):
     assert len(pairs & truth) / len(truth) > 0.9
 
 
+def test_far_positions(spark):
+    """A position more than 3.3 ft off is no veto where the kind is the same and the rim level no other."""
+    cases = [  # station, lateral, kind, tag, rim
+        ((-1, 0, 2, 0, 2), True),
+        ((-1, 0, 2, 0, 0), True),
+        ((-1, 0, 2, 0, -1), False),
+        ((-1, 0, 0, 0, 2), False),
+        ((-1, 0, 2, -1, 2), False),
+        ((-1, -1, 2, 0, 2), False),  # twins facing each other have equal rims
+        ((-1, 2, 2, 0, -1), True),
+        ((1, 0, 0, 0, -1), True),
+    ]
+    votes = spark.createDataFrame([(*v, want) for v, want in cases], "v_station int, v_lateral int, v_kind int, v_tag int, v_rim int, want boolean")
+    assert votes.filter(L.consistent() != F.col("want")).count() == 0
+
+
 def test_empty(spark, case):
     tables, _ = case
     assert links(spark, {**tables, "surveyed_assets": tables["surveyed_assets"].limit(0)}).count() == 0
