@@ -2,7 +2,7 @@
 
 Candidates come from blocks only: the same street (after normalisation, and with typing errors by a
 deletion-neighbourhood join of the distinct names) and the same stretch of stationing, or,
-where an asset has no chainage, the same street and tag number.
+where the asset has no chainage or the observation no station, the same street and tag number.
 
 Labelling functions vote agree / near / disagree / abstain on each candidate: station, lateral offset, kind,
 tag, rim level and street spelling.  The votes of all candidates are reduced to counts per vote
@@ -172,7 +172,7 @@ def canonical_kinds(rows: DataFrame, id_column: str, text: str, canon: DataFrame
 
 
 def candidates(assets: DataFrame, obs: DataFrame, streets: DataFrame) -> DataFrame:
-    """Pairs of the same street and stretch, or of the same street and tag number where there is no chainage."""
+    """Pairs of the same street and stretch, or of the same street and tag number where one side has no position."""
     placed = assets.join(streets, "name").select("asset_id", "a_station", "a_lateral", "a_kind", "a_number", "a_prefix", "a_rim", "base", "suffix", "exact")
     low, high = F.floor((F.col("a_station") - REACH) / BUCKET), F.floor((F.col("a_station") + REACH) / BUCKET)
     near = (
@@ -183,8 +183,9 @@ def candidates(assets: DataFrame, obs: DataFrame, streets: DataFrame) -> DataFra
         .drop("bucket")
     )
     tagged = (
-        placed.filter("a_station is null and a_number is not null")
+        placed.filter("a_number is not null")
         .join(obs.filter("o_number is not null").withColumn("a_number", F.col("o_number")), ["base", "suffix", "a_number"])
+        .filter("a_station is null or o_station is null")
         .select(near.columns)
     )
     return near.unionByName(tagged)
@@ -302,19 +303,44 @@ def consistent() -> Column:
     return (F.col("v_kind") >= 0) & (F.col("v_tag") >= 0) & side & place
 
 
+def with_known_tags(anchor: DataFrame, sure: DataFrame) -> DataFrame:
+    """Anchors without a tag take the one of the asset's confident observations at the anchor's place, if these name one number only."""
+    at_place = (F.col("plan_id") == F.col("t_plan_id")) & (F.col("base") == F.col("t_base")) & (F.col("suffix") == F.col("t_suffix")) & (F.abs(F.col("o_station") - F.col("t_o_station")) <= 2)
+    kind = F.coalesce(F.col("o_kind") == F.col("t_kind"), F.lit(True))
+    side = F.coalesce(F.abs(F.coalesce("t_o_lateral", "t_a_lateral") - F.col("o_lateral")) <= 1.3, F.lit(True))
+    known = (
+        sure.filter("o_number is not null")
+        .select("asset_id", "plan_id", "base", "suffix", "o_station", "o_lateral", "o_kind", "o_number", "o_prefix")
+        .join(anchor.filter("t_number is null"), "asset_id")
+        .filter(at_place & kind & side)
+        .groupBy("asset_id")
+        .agg(F.min("o_number").alias("k_number"), F.max("o_number").alias("k_last"), F.min("o_prefix").alias("k_prefix"), F.max("o_prefix").alias("k_last_prefix"))
+        .filter("k_number = k_last")
+        .select("asset_id", "k_number", F.when(F.col("k_prefix") == F.col("k_last_prefix"), F.col("k_prefix")).alias("k_prefix"))
+    )
+    # the anchor's own tag goes first, number and prefix together
+    return (
+        anchor.join(known, "asset_id", "left")
+        .withColumn("t_prefix", F.when(F.col("t_number").isNull() & F.col("k_number").isNotNull(), F.col("k_prefix")).otherwise(F.col("t_prefix")))
+        .withColumn("t_number", F.coalesce("t_number", "k_number"))
+        .drop("k_number", "k_prefix")
+    )
+
+
 def link(assets: DataFrame, obs: DataFrame, streets: DataFrame, least: float = 0.1) -> DataFrame:
     """``(obs_id, asset_id, confidence)`` of all observations of the thing each asset is."""
     scored = confident(durable(votes(candidates(assets, obs, streets))))
-    strength = F.struct("confidence", (F.col("v_tag") + F.col("v_lateral") + F.col("v_rim") + F.col("v_kind") + F.col("v_station")).alias("s"), (-F.coalesce(F.abs(F.col("a_station") - F.col("o_station")), F.lit(0.0))).alias("d"), (-F.col("obs_id")).alias("o"))
-    payload = F.struct("plan_id", "base", "suffix", "o_station", "o_lateral", F.coalesce("o_kind", "a_kind").alias("kind"), F.coalesce("o_number", "a_number").alias("number"), F.coalesce("o_prefix", F.when(F.col("o_number").isNull(), F.col("a_prefix"))).alias("prefix"), "a_lateral", "o_rim", "confidence")
-    # a tag is known for the thing if any confident observation carries it
+    # tags are used again along a street: a tag without a station anchors an asset with chainage only if nothing else contradicts, and after those with one
+    unplaced = F.col("a_station").isNotNull() & F.col("o_station").isNull()
+    sure = scored.filter((F.col("confidence") >= least) & consistent() & (~unplaced | ((F.col("v_kind") == 2) & (F.col("v_lateral") >= 0) & (F.col("v_rim") >= 0))))
+    strength = F.struct((~unplaced).alias("p"), "confidence", (F.col("v_tag") + F.col("v_lateral") + F.col("v_rim") + F.col("v_kind") + F.col("v_station")).alias("s"), (-F.coalesce(F.abs(F.col("a_station") - F.col("o_station")), F.lit(0.0))).alias("d"), (-F.col("obs_id")).alias("o"))
+    payload = F.struct("plan_id", "base", "suffix", "o_station", "o_lateral", F.coalesce("o_kind", "a_kind").alias("kind"), F.coalesce("o_number", "a_number").alias("number"), F.coalesce("o_prefix", F.when(F.col("o_number").isNull(), F.col("a_prefix"))).alias("prefix"), "a_station", "a_lateral", "o_rim", "confidence")
     anchor = (
-        scored.filter((F.col("confidence") >= least) & consistent())
-        .groupBy("asset_id")
+        sure.groupBy("asset_id")
         .agg(F.max_by(payload, strength).alias("t"))
-        .select("asset_id", *[F.col(f"t.{c}").alias(f"t_{c}") for c in ("plan_id", "base", "suffix", "o_station", "o_lateral", "kind", "number", "prefix", "a_lateral", "o_rim", "confidence")])
+        .select("asset_id", *[F.col(f"t.{c}").alias(f"t_{c}") for c in ("plan_id", "base", "suffix", "o_station", "o_lateral", "kind", "number", "prefix", "a_station", "a_lateral", "o_rim", "confidence")])
     )
-    anchor = durable(anchor)
+    anchor = durable(with_known_tags(durable(anchor), sure))
     same_kind = F.col("o_kind").isNull() | F.col("t_kind").isNull() | (F.col("o_kind") == F.col("t_kind"))
     side = F.coalesce("t_o_lateral", "t_a_lateral")
     same_side = side.isNull() | F.col("o_lateral").isNull() | (F.abs(side - F.col("o_lateral")) <= 1.3)
@@ -330,10 +356,11 @@ def link(assets: DataFrame, obs: DataFrame, streets: DataFrame, least: float = 0
     stretch = anchor.filter("t_o_station is not null").withColumn("t_bucket", F.explode(F.array_distinct(F.array(F.floor((F.col("t_o_station") - 2) / BUCKET), F.floor((F.col("t_o_station") + 2) / BUCKET)))))
     placed = obs.filter("o_station is not null").withColumn("bucket", F.floor(F.col("o_station") / BUCKET))
     by_place = placed.join(stretch, street & (F.col("bucket") == F.col("t_bucket")) & (F.abs(F.col("o_station") - F.col("t_o_station")) <= 2) & same_kind & same_side & not_other)
-    # by id, where the observation or the anchor has no position
+    # by id, where the observation or the anchor has no position; the asset's own still holds
+    in_reach = F.col("t_o_station").isNotNull() | F.coalesce(F.abs(F.col("o_station") - F.col("t_a_station")) <= REACH, F.lit(True))
     by_id = obs.filter("o_number is not null").join(
         anchor.filter("t_number is not null"),
-        street & (F.col("o_number") == F.col("t_number")) & prefix_ok & (F.col("o_station").isNull() | F.col("t_o_station").isNull() | (F.abs(F.col("o_station") - F.col("t_o_station")) <= 4)) & same_kind & same_side,
+        street & (F.col("o_number") == F.col("t_number")) & prefix_ok & (F.col("o_station").isNull() | F.col("t_o_station").isNull() | (F.abs(F.col("o_station") - F.col("t_o_station")) <= 4)) & in_reach & same_kind & same_side,
     )
     both = by_place.select("obs_id", "asset_id", "t_confidence").unionByName(by_id.select("obs_id", "asset_id", "t_confidence"))
     return both.groupBy("obs_id", "asset_id").agg(F.max("t_confidence").alias("confidence"))

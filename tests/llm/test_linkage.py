@@ -73,6 +73,25 @@ def test_far_positions(spark):
     assert votes.filter(L.consistent() != F.col("want")).count() == 0
 
 
+OBS = "obs_id bigint, plan_id string, base string, suffix string, o_station double, o_lateral double, o_kind string, o_number string, o_prefix string, o_rim double"
+ASSET = "asset_id bigint, name string, a_station double, a_lateral double, a_kind string, a_number string, a_prefix string, a_rim double"
+
+
+def test_observations_without_station(spark):
+    """A thing seen only without station is found by its tag; one seen with and without, by any of its ids."""
+    at = ("P", "oak", "drive")
+    obs = [(i, *at, 1000.0 + 60 * i, 10.0, "CB", None, None, 300.0 + i) for i in range(40)]
+    obs += [(100, *at, None, 10.0, "CB", "7", "CB", 350.0)]  # the thing of asset 2000
+    obs += [(101, *at, 9000.0, 10.0, "CB", "7", "CB", 320.0)]  # the same id far down the street
+    obs += [(102, *at, 5000.0, 10.0, "CB", None, None, 360.0), (103, *at, 5000.3, 10.0, "CB", "8", "CB", 360.0), (104, *at, None, 10.0, "CB", "8", "CB", 360.0)]  # the thing of asset 2001
+    obs += [(105, *at, None, 10.0, "CB", "9", "CB", 330.0)]  # another rim level than asset 2002
+    assets = [(1000 + i, "n", 1000.4 + 60 * i, 10.1, "CB", None, None, 300.0 + i) for i in range(40)]
+    assets += [(2000, "n", 7000.0, None, "CB", "7", "CB", 350.05), (2001, "n", 5000.0, 10.0, "CB", None, None, 360.0), (2002, "n", 8000.0, None, "CB", "9", "CB", 370.0)]
+    streets = spark.createDataFrame([("n", "oak", "drive", True)], "name string, base string, suffix string, exact boolean")
+    got = {r[:2] for r in rows(L.link(spark.createDataFrame(assets, ASSET), spark.createDataFrame(obs, OBS), streets, least=0.0), "obs_id", "asset_id")}  # so few pairs fit no model
+    assert got == {(i, 1000 + i) for i in range(40)} | {(100, 2000), (102, 2001), (103, 2001), (104, 2001)}
+
+
 def test_empty(spark, case):
     tables, _ = case
     assert links(spark, {**tables, "surveyed_assets": tables["surveyed_assets"].limit(0)}).count() == 0
