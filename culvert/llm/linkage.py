@@ -13,7 +13,8 @@ labels.  Its posterior is the confidence of a candidate.
 
 An asset is one real thing: its most confident observation is its anchor, and all observations of the
 anchor's thing (same plan set, street, kind and position, or the same id where a position is
-missing) pair with the asset.
+missing) pair with the asset.  The confidence of a pair is its own posterior where it was a candidate
+(the largest over its streets), however low, and else, for a pair only propagated, that of the anchor.
 
 Edge cases: rows without street, or without both position and tag, have no candidates; null attributes
 abstain; an asset surveyed twice is two assets; ties between anchors go to the smaller
@@ -363,7 +364,9 @@ def link(assets: DataFrame, obs: DataFrame, streets: DataFrame, least: float = 0
         street & (F.col("o_number") == F.col("t_number")) & prefix_ok & (F.col("o_station").isNull() | F.col("t_o_station").isNull() | (F.abs(F.col("o_station") - F.col("t_o_station")) <= 4)) & in_reach & same_kind & same_side,
     )
     both = by_place.select("obs_id", "asset_id", "t_confidence").unionByName(by_id.select("obs_id", "asset_id", "t_confidence"))
-    return both.groupBy("obs_id", "asset_id").agg(F.max("t_confidence").alias("confidence"))
+    own = scored.select("obs_id", "asset_id", F.col("confidence").alias("own"))
+    each = both.unionByName(own, allowMissingColumns=True).groupBy("obs_id", "asset_id").agg(F.max("t_confidence").alias("t_confidence"), F.max("own").alias("own"))
+    return each.filter("t_confidence is not null").select("obs_id", "asset_id", F.coalesce("own", "t_confidence").alias("confidence"))
 
 
 def plan_set_links(structures: DataFrame, tiles: DataFrame, pipes: DataFrame, assets: DataFrame, canon: DataFrame) -> DataFrame:

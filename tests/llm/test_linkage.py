@@ -92,6 +92,19 @@ def test_observations_without_station(spark):
     assert got == {(i, 1000 + i) for i in range(40)} | {(100, 2000), (102, 2001), (103, 2001), (104, 2001)}
 
 
+def test_confidence_is_that_of_the_pair(spark):
+    """A second observation of the thing has its own posterior; one that was no candidate has the anchor's."""
+    at = ("P", "oak", "drive")
+    obs = [(1, *at, 1000.0, 10.0, "CB", "7", "CB", 300.0), (2, *at, 1000.5, None, None, None, None, 309.0), (3, *at, None, 10.0, "CB", "7", "CB", 300.0)]
+    streets = spark.createDataFrame([("n", "oak", "drive", True)], "name string, base string, suffix string, exact boolean")
+    assets = spark.createDataFrame([(1000, "n", 1000.0, 10.0, "CB", None, None, 300.0)], ASSET)
+    obs = spark.createDataFrame(obs, OBS)
+    got = {r[0]: r[2] for r in rows(L.link(assets, obs, streets, least=0.0), "obs_id", "asset_id", "confidence")}
+    own = {r[0]: r[1] for r in rows(L.confident(L.votes(L.candidates(assets, obs, streets))), "obs_id", "confidence")}
+    assert set(own) == {1, 2} and own[1] != own[2]
+    assert got == {**own, 3: max(own.values())}
+
+
 def test_empty(spark, case):
     tables, _ = case
     assert links(spark, {**tables, "surveyed_assets": tables["surveyed_assets"].limit(0)}).count() == 0
