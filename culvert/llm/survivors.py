@@ -74,13 +74,14 @@ def node_fields() -> dict[str, Column]:
     }
 
 
-def discover_truth(claims: DataFrame, keys: list[str], rounds: int = 4, prior: float = 0.8) -> DataFrame:
+def discover_truth(claims: DataFrame, keys: list[str], rounds: int = 50, prior: float = 0.8, epsilon: float = 1e-4) -> DataFrame:
     """Iterative truth discovery over ``(keys..., field_name, source, value)``.
 
     A source's reliability starts at ``prior``; each round gives every value the summed log-odds of
     the sources that claim it, takes the best value per field, and re-estimates each source as the
     smoothed share of its claims that agree.  Claims are first counted per distinct
     (group, field, source, value).  Lineage is cut each round by a checkpoint of the sources.
+    It ends when no reliability changes by more than ``epsilon``; if ``rounds`` are too few for that, it raises.
     """
     unit = [*keys, "field_name"]
     votes = durable(claims.dropna(subset=[*unit, "source", "value"]).groupBy(*unit, "source", "value").agg(F.count("*").alias("n")))
@@ -94,8 +95,12 @@ def discover_truth(claims: DataFrame, keys: list[str], rounds: int = 4, prior: f
         ).select(*unit, F.col("b.value").alias("value"), F.round("b.support", 6).alias("support"))
         won = votes.join(best.select(*unit, F.col("value").alias("best_value")), unit)
         agree = F.sum(F.when(F.col("value") == F.col("best_value"), F.col("n")).otherwise(0))
-        sources = durable(won.groupBy("source").agg(((agree + 2 * prior) / (F.sum("n") + 2)).alias("reliability")))
-    return best
+        new = durable(won.groupBy("source").agg(((agree + 2 * prior) / (F.sum("n") + 2)).alias("reliability")))
+        change = new.join(sources.withColumnRenamed("reliability", "old"), "source").agg(F.max(F.abs(F.col("reliability") - F.col("old")))).collect()[0][0]
+        if change is None or change <= epsilon:
+            return best
+        sources = new
+    raise ValueError(f"truth discovery: a reliability still changes by {change} after {rounds} rounds")
 
 
 def node_claims(merged: DataFrame) -> DataFrame:

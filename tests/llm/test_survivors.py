@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from culvert.llm import survivors as S
@@ -54,3 +55,11 @@ def test_truth_discovery_finds_the_reliable_sources(spark):
     plurality = sum(v[0][0] == "true" and (len(v) == 1 or v[0][1] > v[1][1]) for v in votes) / 400
     assert best.count() == 400 and right > plurality + 0.05 and right > 0.9
     assert S.discover_truth(df.limit(0), ["plan_id", "node_id"]).count() == 0
+
+
+def test_truth_discovery_ends_when_reliabilities_settle(spark):
+    claims = [("P", f"n{i}", "size", s, "x" if s != "c" or i % 3 else "y") for i in range(30) for s in "abc"]
+    df = spark.createDataFrame(claims, "plan_id string, node_id string, field_name string, source string, value string")
+    assert S.discover_truth(df, ["plan_id", "node_id"]).filter("value = 'x'").count() == 30
+    with pytest.raises(ValueError, match="still changes"):
+        S.discover_truth(df, ["plan_id", "node_id"], rounds=1)
