@@ -17,6 +17,8 @@ extra columns belong to the compared columns unless they are named as ignored.
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +50,7 @@ def _hot(keyed: DataFrame, hot_share: float) -> list:
     total = counts.agg(F.sum("n")).collect()[0][0] or 0
     if not total:
         return []
-    return collect_bounded(counts.filter(F.col("n") >= max(3, int(total * hot_share))).select("kind", "key"), int(1 / hot_share) + 1, "hot keys")
+    return collect_bounded(counts.filter(F.col("n") >= max(3, ceil(total * hot_share))).select("kind", "key"), int(1 / hot_share) + 1, "hot keys")
 
 
 def _in(keys: list) -> Column:

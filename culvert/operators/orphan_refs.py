@@ -25,6 +25,7 @@ once in the found rows and as often as recorded in the counts; empty tables give
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,7 +55,7 @@ def heavy_keys(refs: DataFrame, heavy_share: float) -> list:
     total = per_key.agg(F.sum("n")).collect()[0][0] or 0
     if not total:
         return []
-    floor = max(2, int(total * heavy_share))
+    floor = max(2, ceil(total * heavy_share))
     return collect_bounded(per_key.filter(F.col("n") >= floor).select(*KEY), int(1 / heavy_share) + 1, "heavy keys")
 
 

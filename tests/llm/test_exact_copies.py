@@ -46,3 +46,8 @@ def test_empty_and_long_and_extra_columns(spark):
     clash = s.withColumn("key", F.lit(1)).withColumn("kind", F.lit("q")).withColumn("first_id", F.col("obs_id"))
     df = E.with_key(clash, "obs_id", ["ingested_at", "first_id"], ["offset_txt"]).withColumn("kind", F.lit("structure"))
     assert rows(E.copies(df), "first_id", "copy_id") == [(1, 2)]
+
+
+def test_hot_keys_of_a_small_table_stay_bounded(spark):
+    got = E.copies(spark.createDataFrame([(i, bytes([i // 3]), "pipe") for i in range(150)], "id bigint, key binary, kind string"))
+    assert got.count() == 100

@@ -75,3 +75,8 @@ def test_empty_tables(spark):
 
 def test_long_reference(spark):
     assert found(spark, [call(1, "SEE " * 20_000 + "C-7")], [])[0][0][1] == 1
+
+
+def test_heavy_keys_of_a_small_table_stay_bounded(spark):
+    refs = spark.createDataFrame([("f", "s", i, 2) for i in range(60)], "ref_field string, scope string, block int, n int")
+    assert O.heavy_keys(refs, 1 / 48) == []
