@@ -18,6 +18,7 @@ along by id only.
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
 
@@ -63,10 +64,65 @@ def read_payload(text: str | None):
         return None
     try:
         return _DECODER.raw_decode(text, start)[0]
-    except (ValueError, RecursionError):
+    except RecursionError:
+        return _deep_value(text, start)
+    except ValueError:
         return None
 
 
+_SPACE = re.compile(r"[ \t\n\r]*")
+_SCALAR = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?|true|false|null|NaN|-?Infinity", re.ASCII)
+
+
+def _deep_value(text: str, at: int):
+    """What the decoder would read at ``at``, on an explicit stack: for nesting beyond its recursion limit."""
+    top: list = []
+    # open containers, each with the key its next value belongs to
+    open_: list[tuple[list, str | None]] = [(top, None)]
+    first = True
+    while True:
+        at = _SPACE.match(text, at).end()
+        box, key = open_[-1]
+        ch = text[at : at + 1]
+        if box is not top and ch == ("}" if isinstance(box, Pairs) else "]"):
+            open_.pop()
+            at += 1
+            first = False
+            if len(open_) == 1:
+                return top[0]
+            continue
+        if box is not top and not first:
+            if ch != ",":
+                return None
+            at = _SPACE.match(text, at + 1).end()
+        try:
+            if isinstance(box, Pairs):
+                if text[at : at + 1] != '"':
+                    return None
+                key, at = json.decoder.scanstring(text, at + 1, False)
+                at = _SPACE.match(text, at).end()
+                if text[at : at + 1] != ":":
+                    return None
+                at = _SPACE.match(text, at + 1).end()
+            ch, inner = text[at : at + 1], None
+            if ch in ("{", "["):
+                value = inner = Pairs() if ch == "{" else []
+                at += 1
+            elif ch == '"':
+                value, at = json.decoder.scanstring(text, at + 1, False)
+            else:
+                m = _SCALAR.match(text, at)
+                if m is None:
+                    return None
+                value, at = json.loads(m.group()), m.end()
+        except ValueError:
+            return None
+        box.append((key, value) if isinstance(box, Pairs) else value)
+        first = inner is not None
+        if inner is not None:
+            open_.append((inner, None))
+
+
 def _quoted(text: str):
     """A value quoted as text, if the text is a JSON list or object; else None."""
     return read_payload(text) if text.lstrip()[:1] in ("{", "[") else None
@@ -87,17 +143,21 @@ def _text(value) -> str | None:
 
 def _ref_ids(value) -> list[int]:
     """Span ids in reading order from numbers, numeric texts, id objects, lists of these and quoted lists."""
-    if isinstance(value, bool) or value is None:
-        return []
-    if isinstance(value, int):
-        return [value]
-    if isinstance(value, float):
-        return [int(value)] if value == int(value) else []
-    if isinstance(value, str):
-        return [int(x) for x in re.findall(r"(?<![\w.])-?\d+(?![\w.])", value)]
-    if isinstance(value, Pairs):
-        return [i for _, v in value for i in _ref_ids(v)]
-    return [i for v in value for i in _ref_ids(v)]
+    ids: list[int] = []
+    work = [value]
+    while work:
+        x = work.pop()
+        if isinstance(x, Pairs):
+            work.extend(v for _, v in reversed(x))
+        elif isinstance(x, list):
+            work.extend(reversed(x))
+        elif isinstance(x, str):
+            ids += [int(i) for i in re.findall(r"(?<![\w.])-?\d+(?![\w.])", x)]
+        elif isinstance(x, float):
+            ids += [int(x)] if math.isfinite(x) and x == int(x) else []
+        elif isinstance(x, int) and not isinstance(x, bool):
+            ids.append(x)
+    return ids
 
 
 def label_nodes(value, record_kind: str | None) -> list[dict]:

@@ -66,3 +66,10 @@ def test_labels_hold_the_links(spark):
     assert {(r[0], r[1]) for r in inside.select("d.parent_path", F.col("a.pos").cast("string")).collect()} == {("0", "0"), ("1", "1")}
     assert inside.count() == 3
     assert N.node_table(nodes, "text_ref").count() == 6 and N.node_table(nodes, "item").count() == 0
+
+
+def test_depth_beyond_the_decoder():
+    deep = '{"w":' * 50_000 + json.dumps({**ST, "inverts": [{"elevation": 1.5, "source_text_ids": "@"}]}).replace('"@"', "[" * 50_000 + "7, NaN, -Infinity, 8" + "]" * 50_000) + "}" * 50_000
+    nodes = N.link_by_containment(N.label_nodes(N.read_payload(deep), "extraction"))
+    assert [(n["child_kind"], n["parent_path"], n["pos"], n.get("ref_id")) for n in nodes] == [("structure", "", 0, None), ("invert", "0", 0, None), ("text_ref", "0.0", 0, 7), ("text_ref", "0.0", 1, 8)]
+    assert N.read_payload(deep[:-1]) is None
