@@ -1,8 +1,8 @@
 """Records that are the same but for formatting, collapsed to one each with their number of copies.
 
 A record's canonical key is a 128-bit digest of all its compared columns; loosely formatted text
-columns are first reduced to their parts (numbers with decimal point, letters, foot and
-inch marks) without white space, case, punctuation and order.
+columns are first reduced to their parts (whole words, initials, numbers with decimal point and their foot or
+inch mark) without white space, case, punctuation and order of parts.
 
 Skew: keys are counted with partial (map-side) counts; the keys holding at least ``hot_share`` of
 all rows are known exactly and number at most ``1 / hot_share``.  Hot groups are salted by
@@ -25,16 +25,25 @@ from pyspark.sql import functions as F
 from culvert.runtime import collect_bounded, durable
 
 
+#: A part: initials, a word, a number with the mark that belongs to it, or a mark on its own.
+PART = r"(?:\p{L}\.)+\p{L}\b|\p{L}+|(?:\d+/\d+|\d+(?:\.\d+)?|\.\d+)['\"]?|['\"]"
+
+
 def canonical_parts(text: Column) -> Column:
-    """Order-free canonical form of a loosely formatted text: sorted numbers, marks and letters."""
+    """Order-free canonical form of a loosely formatted text: its parts, sorted as wholes.
+
+    Letters stay in their word and marks with their number, so ``8' 6"`` and ``6' 8"``, or ``PVC`` and ``CPV``, stay apart.
+    """
     t = F.lower(F.regexp_replace(text, "[∅⌀]", "ø"))
     t = F.regexp_replace(t, "[′’‘´`ʹ＇]", "'")
     t = F.regexp_replace(t, "[″”“ʺ＂]", '"')
     t = F.regexp_replace(t, r"'\s*'", '"')
-    numbers = F.array_sort(F.regexp_extract_all(t, F.lit(r"(\d+(?:\.\d+)?|\.\d+)"), F.lit(1)))
-    marks = F.array_sort(F.regexp_extract_all(t, F.lit("(['\"])"), F.lit(1)))
-    letters = F.array_sort(F.filter(F.split(F.regexp_replace(t, r"[^\p{L}]+", ""), ""), lambda c: c != ""))
-    return F.concat_ws("|", F.array_join(numbers, " "), F.array_join(marks, ""), F.array_join(letters, ""))
+    t = F.regexp_replace(t, r"(\d),(\d{3})(?!\d)", "$1$2")
+    # a mark belongs to the number before it, or, where the text has one number and one mark, to that number
+    t = F.regexp_replace(t, r"(\d)[\s ]+(['\"])", "$1$2")
+    t = F.regexp_replace(t, r"^([^\d'\"]*)(['\"])([^\d'\"]*?)(\d+(?:\.\d+)?|\.\d+)([^\d'\"]*)$", "$1$3$4$2$5")
+    parts = F.regexp_extract_all(t, F.lit(f"({PART})"), F.lit(1))
+    return F.array_join(F.array_sort(F.transform(parts, lambda p: F.when(p.rlike(r"^\p{L}"), F.translate(p, ".", "")).otherwise(p))), " ")
 
 
 def with_key(df: DataFrame, id_column: str, ignored: list[str], loose: list[str]) -> DataFrame:

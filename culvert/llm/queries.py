@@ -119,9 +119,13 @@ def _parts(column: str) -> str:
     for marks, plain in (("′’‘´`ʹ＇", "''"), ("″”“ʺ＂", '"')):
         t = f"regexp_replace({t}, '[{marks}]', '{plain}', 'g')"
     t = f"regexp_replace({t}, '''\\s*''', '\"', 'g')"
-    numbers, marks = f"list_sort(regexp_extract_all({t}, '\\d+(?:\\.\\d+)?|\\.\\d+'))", f"list_sort(regexp_extract_all({t}, '[''\"]'))"
-    letters = f"list_sort(string_split(regexp_replace({t}, '[^\\p{{L}}]+', '', 'g'), ''))"
-    return f"case when {column} is not null then concat_ws('|', array_to_string({numbers}, ' '), array_to_string({marks}, ''), array_to_string({letters}, '')) end"
+    t = f"regexp_replace({t}, '([0-9]),([0-9][0-9][0-9])([^0-9]|$)', '\\1\\2\\3', 'g')"
+    # every number with its mark, every word; the two are listed apart, each in its own order
+    number = "[0-9]+/[0-9]+|[0-9]+[.][0-9]+|[0-9]+|[.][0-9]+"
+    loose = f"(len(regexp_extract_all({t}, '[0-9]+([.][0-9]+)?')) = 1 and len(regexp_extract_all({t}, '[''\"]')) = 1)"
+    numbers = f"case when {loose} then [regexp_extract({t}, '{number}') || regexp_extract({t}, '[''\"]')] else list_transform(regexp_extract_all({t}, '({number})[\\s ]*[''\"]|{number}|[''\"]'), lambda p: regexp_replace(p, '[\\s ]', '', 'g')) end"
+    words = f"list_transform(regexp_extract_all({t}, '(\\p{{L}}[.])+\\p{{L}}\\b|\\p{{L}}+'), lambda p: regexp_replace(p, '[.\\s]+', '', 'g'))"
+    return f"case when {column} is not null then array_to_string(list_sort({numbers}), ' ') || '|' || array_to_string(list_sort({words}), ' ') end"
 
 
 def _copies_of(kind: str, table_name: str, key: str, loose: list[str]) -> str:

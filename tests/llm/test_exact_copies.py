@@ -51,3 +51,9 @@ def test_empty_and_long_and_extra_columns(spark):
 def test_hot_keys_of_a_small_table_stay_bounded(spark):
     got = E.copies(spark.createDataFrame([(i, bytes([i // 3]), "pipe") for i in range(150)], "id bigint, key binary, kind string"))
     assert got.count() == 100
+
+
+def test_letters_stay_in_their_word_and_marks_with_their_number(spark):
+    sizes = ["8' 6\"", "6' 8\"", "6\" 8'", "8'-6\"", "P.V.C", "pvc", "CPV", "DIP", "PID", "Ductile Iron", "iron, DUCTILE", '8 "', '" / 8', "8'", "1,200 mm", "1200MM", "poly.chloride", "chloride poly", '1/2"', '2/1"']
+    df = keyed(spark, pipes=[{"pipe_id": i, "size": s} for i, s in enumerate(sizes)])
+    assert rows(E.copies(df), "first_id", "copy_id") == sorted([(0, 2), (0, 3), (4, 5), (9, 10), (11, 12), (14, 15), (16, 17)], key=repr)
