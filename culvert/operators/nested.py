@@ -11,8 +11,9 @@ containment joins can be made in SQL (``a.pre < d.pre and d.post < a.post`` on t
 Edge cases: null, empty and blank payloads and payloads whose JSON breaks off give no rows;
 a byte-order mark, a code fence or prose around the JSON is skipped; keys repeated within
 one object are all kept, in reading order; nulls and texts where an object belongs take no
-position; repeated payloads are flattened once per record id; extra columns are carried
-along by id only.
+position; numbers that are not finite are no ids, whole numbers beyond 64 bits keep their position with
+a null id; half surrogate pairs become U+FFFD; repeated payloads are flattened once per record id; extra
+columns are carried along by id only.  Payloads that cannot be read are listed by ``rejected_records``.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from culvert.runtime import durable
+
 NODE_SCHEMA = (
     "raw_id bigint, child_kind string, pre int, post int, parent_path string, pos int, "
     "type string, direction string, size string, station string, lateral string, elevation double, ref_id bigint, label string"
@@ -45,7 +48,16 @@ class Pairs(list):
         return any(k == key for k, _ in self)
 
 
-_DECODER = json.JSONDecoder(object_pairs_hook=Pairs, strict=False)
+LONGEST_NUMBER = 4_000
+ROWS_A_BATCH = 20_000
+
+
+def _integer(digits: str) -> int:
+    """Value of a JSON integer; of one beyond the length Python reads, only that it is huge is kept."""
+    return int(digits[:LONGEST_NUMBER])
+
+
+_DECODER = json.JSONDecoder(object_pairs_hook=Pairs, parse_int=_integer, strict=False)
 
 
 def read_payload(text: str | None):
@@ -114,7 +126,7 @@ def _deep_value(text: str, at: int):
                 m = _SCALAR.match(text, at)
                 if m is None:
                     return None
-                value, at = json.loads(m.group()), m.end()
+                value, at = _DECODER.decode(m.group()), m.end()
         except ValueError:
             return None
         box.append((key, value) if isinstance(box, Pairs) else value)
@@ -133,17 +145,32 @@ def _number(value) -> float | None:
         return None
     try:
         return float(value)
-    except (TypeError, ValueError):
+    except (TypeError, ValueError, OverflowError):
         return None
 
 
+_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
 def _text(value) -> str | None:
-    return None if value is None or isinstance(value, list) else str(value)
+    """A scalar as text; half a surrogate pair, which no encoding can store, becomes U+FFFD."""
+    if value is None or isinstance(value, list):
+        return None
+    if isinstance(value, int) and value.bit_length() > 64:
+        return None
+    return _SURROGATE.sub("\ufffd", str(value))
+
+
+def _span_id(value: int) -> int | None:
+    return value if -(2**63) <= value < 2**63 else None
 
 
-def _ref_ids(value) -> list[int]:
-    """Span ids in reading order from numbers, numeric texts, id objects, lists of these and quoted lists."""
-    ids: list[int] = []
+def _ref_ids(value) -> list[int | None]:
+    """Span ids in reading order from numbers, numeric texts, id objects, lists of these and quoted lists.
+
+    A whole number beyond 64 bits keeps its position, with a null id; a number that is not finite is no id.
+    """
+    ids: list[int | None] = []
     work = [value]
     while work:
         x = work.pop()
@@ -152,11 +179,11 @@ def _ref_ids(value) -> list[int]:
         elif isinstance(x, list):
             work.extend(reversed(x))
         elif isinstance(x, str):
-            ids += [int(i) for i in re.findall(r"(?<![\w.])-?\d+(?![\w.])", x)]
+            ids += [_span_id(_integer(i)) for i in re.findall(r"(?<![\w.])-?\d+(?![\w.])", x)]
         elif isinstance(x, float):
-            ids += [int(x)] if math.isfinite(x) and x == int(x) else []
+            ids += [_span_id(int(x))] if math.isfinite(x) and x == int(x) else []
         elif isinstance(x, int) and not isinstance(x, bool):
-            ids.append(x)
+            ids.append(_span_id(x))
     return ids
 
 
@@ -237,17 +264,51 @@ def flatten_records(raw: DataFrame) -> DataFrame:
     schema = pa.schema([(name, types[kind]) for name, kind in (c.split() for c in NODE_SCHEMA.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[dict] = []
         for batch in batches:
-            out = []
-            for raw_id, kind, payload in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            # payload by payload, so that only one of them stands beside the rows of a batch
+            for i in range(batch.num_rows):
+                raw_id, kind, payload = (batch.column(c)[i].as_py() for c in range(3))
                 value = read_payload(payload)
                 if value is not None:
-                    out += [{"raw_id": raw_id, **n} for n in link_by_containment(label_nodes(value, kind))]
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
+                    for n in link_by_containment(label_nodes(value, kind)):
+                        out.append({"raw_id": raw_id, **n})
+                        if len(out) >= ROWS_A_BATCH:
+                            yield pa.RecordBatch.from_pylist(out, schema=schema)
+                            out = []
+        yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     return raw.filter("payload is not null").select(F.col("raw_id").cast("bigint"), "record_kind", "payload").mapInArrow(run, NODE_SCHEMA)
 
 
+def rejection(payload: str | None) -> str | None:
+    """Why a payload gives no rows; None if it can be read."""
+    if payload is None or not payload.strip("\ufeff \t\r\n"):
+        return "empty"
+    if "{" not in payload and "[" not in payload:
+        return "no object"
+    return "breaks off" if read_payload(payload) is None else None
+
+
+def rejected_records(raw: DataFrame) -> DataFrame:
+    """``(raw_id, reason)`` of every record whose payload gives no rows because it cannot be read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            reasons = [rejection(batch.column(1)[i].as_py()) for i in range(batch.num_rows)]
+            keep = [i for i, r in enumerate(reasons) if r]
+            ids = batch.column(0).take(pa.array(keep, type=pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([reasons[i] for i in keep], type=pa.string())], names=["raw_id", "reason"])
+
+    return raw.select(F.col("raw_id").cast("bigint"), "payload").mapInArrow(run, "raw_id bigint, reason string")
+
+
+def node_tables(raw: DataFrame) -> dict[str, DataFrame]:
+    """The flat tables of all node types from one traversal, which is materialised once."""
+    nodes = durable(flatten_records(raw))
+    return {kind: node_table(nodes, kind) for kind in PARENT_OF}
+
+
 def node_table(nodes: DataFrame, kind: str) -> DataFrame:
     """The flat table of one node type with its parent link."""
     fields = {

@@ -51,6 +51,11 @@ def p2_items(spark: SparkSession, sf: str) -> DataFrame:
     return nested.node_table(_nodes(spark, sf), "item")
 
 
+def p2_rejected(spark: SparkSession, sf: str) -> DataFrame:
+    """Records whose payload cannot be read, with the reason."""
+    return nested.rejected_records(table(spark, sf, "raw_extractions"))
+
+
 def _values(spark: SparkSession, sf: str) -> DataFrame:
     return units.common_values(table(spark, sf, "structures"), table(spark, sf, "pipes"), table(spark, sf, "tiles"))
 
@@ -65,7 +70,7 @@ def p4_values(spark: SparkSession, sf: str) -> DataFrame:
     return _values(spark, sf).withColumn("common_value", F.round("common_value", 6))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_structures, p2_inverts, p2_text_refs, p2_items, p4_found, p4_values)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_structures, p2_inverts, p2_text_refs, p2_items, p2_rejected, p4_found, p4_values)}
 
 _CLEAN = rf"regexp_replace(upper({{x}}), '\b(?:{NOISE_WORDS})\b\.?', ' ; ', 'g')"
 _TOKEN = r"regexp_replace(regexp_replace({x}, '[^A-Z0-9]', '', 'g'), '^([A-Z]*)0+([0-9])', '\1\2')"
@@ -88,4 +93,15 @@ _P1 = f"""with c as (select callout_id, plan_id, extracted_at tm, reference_shee
    union all select 'source_text_ids', id, cast(k as varchar), tm from t where k is not null and not exists (select 1 from l where l.plan_id = t.plan_id and l.tile_id = t.tile_id and l.k = t.k and l.a <= t.tm and (l.b is null or t.tm < l.b)))
 """
 
-ORACLES = {"p1_found": _P1 + "select distinct ref_field, record_id, ref_key from f"}
+_P1_COUNTS = _P1 + f""", o as (
+    select 'reference_sheet' ref_field, tm, id, unnest(list_distinct({_tokens('rs')})) k, plan_id, null tile_id from (select callout_id id, * from c) where rs is not null and plan_id is not null
+   union all select 'reference_detail', tm, id, unnest(list_distinct({_tokens('rd')})), null, null from (select callout_id id, * from c) where rd is not null
+   union all select 'source_text_ids', tm, id, cast(k as varchar), plan_id, tile_id from (select distinct id, plan_id, tile_id, tm, k from t) where k is not null),
+  j as (select o.*, case o.ref_field
+      when 'reference_sheet' then exists (select 1 from s where s.plan_id = o.plan_id and s.k = o.k and s.a <= o.tm and (s.b is null or o.tm < s.b))
+      when 'reference_detail' then exists (select 1 from d where d.k = o.k and d.a <= o.tm and (d.b is null or o.tm < d.b))
+      else exists (select 1 from l where l.plan_id = o.plan_id and l.tile_id = o.tile_id and cast(l.k as varchar) = o.k and l.a <= o.tm and (l.b is null or o.tm < l.b)) end live from o)
+  select case ref_field when 'source_text_ids' then 'structures' else 'callouts' end source_table, ref_field, strftime(tm, '%Y-%m') as month,
+    count(*) as "references", cast(sum(case when live then 0 else 1 end) as bigint) orphans from j group by 1, 2, 3"""
+
+ORACLES = {"p1_found": _P1 + "select distinct ref_field, record_id, ref_key from f", "p1_counts": _P1_COUNTS}
