@@ -57,7 +57,7 @@ def p2_rejected(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _values(spark: SparkSession, sf: str) -> DataFrame:
-    return units.common_values(table(spark, sf, "structures"), table(spark, sf, "pipes"), table(spark, sf, "tiles"))
+    return units.common_values(*[table(spark, sf, t) for t in ("structures", "pipes", "tiles", "units_ref")])
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
