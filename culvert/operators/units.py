@@ -76,8 +76,8 @@ def factors(units_ref: DataFrame | None) -> dict[str, float]:
     return out
 
 
-def unit_and_value(scale_of: dict[str, float]) -> Column:
-    """``struct(unit_code, common_value)`` of the value ``q``, given the units ``noted`` and ``tiled`` that its notes and its tile state."""
+def unit_and_value(scale_of: dict[str, float]) -> str:
+    """SQL of ``struct(unit_code, common_value)`` of the value ``q``, given the units ``noted`` and ``tiled`` that its notes and its tile state."""
     said = ", ".join(f"case when q.field_name = '{f}' then coalesce(noted.{f}, tiled.{f}) end" for f in COMMON)
     unit = f"case when q.own is not null or q.own_scale is not null then q.own else coalesce({said}) end"
     factors_, sizes = U._map_sql(tuple(scale_of.items())), U._map_sql(tuple(U.SIZE_CODE.items()))
@@ -88,7 +88,7 @@ def unit_and_value(scale_of: dict[str, float]) -> Column:
     lengths = ", ".join(f"'{c}'" for c in U.LENGTH_UNITS)
     scale = f"case when q.field_name = 'size' and c in ({lengths}) then {factors_}[c] * 12 when c is null then q.own_scale else {factors_}[c] end"
     value = f"case when c = 'one_in_n' then 1D / nullif(q.number, 0D) else q.number * {scale} + coalesce({shifts}[c], 0D) end"
-    return F.expr(U.let(unit, "u", U.let(code, "c", f"named_struct('unit_code', c, 'common_value', {value})")))
+    return U.let(unit, "u", U.let(code, "c", f"named_struct('unit_code', c, 'common_value', {value})"))
 
 
 def common_values(structures: DataFrame, pipes: DataFrame, tiles: DataFrame, units_ref: DataFrame | None = None) -> DataFrame:
@@ -100,7 +100,7 @@ def common_values(structures: DataFrame, pipes: DataFrame, tiles: DataFrame, uni
     joined = records.filter(keyed).join(t, (F.col("plan_id") == F.col("t_plan")) & (F.col("tile_id") == F.col("t_tile")), "left").drop("t_plan", "t_tile")
     every = joined.unionByName(records.filter(f"not ({keyed})").withColumn("tiled", F.lit(None).cast(t.schema["tiled"].dataType)))
     each = every.select("record_kind", "record_id", "noted", "tiled", F.explode("q").alias("q")).filter("q.number is not null and not isnan(q.number)")
-    value = unit_and_value(factors(units_ref))
+    value = F.expr(unit_and_value(factors(units_ref)))
     return each.select("record_kind", "record_id", F.col("q.field_name").alias("field_name"), F.col("q.number").alias("number"), value.alias("v")).select("record_kind", "record_id", "field_name", "number", "v.*")
 
 
