@@ -230,6 +230,21 @@ def map_values(values: DataFrame, canon: DataFrame) -> DataFrame:
     return kept.mapInPandas(run, "record_kind string, record_id bigint, canon_code string")
 
 
+def code_of(canon: DataFrame, list_name: str):
+    """A vectorised function from a free-entered value to its canonical code of one list; null where there is none."""
+    rows = collect_bounded(canon.filter(F.col("canon_code").isNotNull() & (F.col("list_name") == list_name)).select("canon_code", "title").orderBy("canon_code"), MAX_ENTRIES, "canonical list")
+    entries = [tuple(r) for r in rows]
+
+    @F.pandas_udf("string")
+    def codes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        match = CanonicalMatcher(entries, ALIASES.get(list_name, {}))
+        for batch in batches:
+            found = [None if v is None else match(v) for v in batch]
+            yield pd.Series([None if c == NONE else c for c in found], dtype=object)
+
+    return codes
+
+
 def typed_values(structures: DataFrame, callouts: DataFrame, pipes: DataFrame) -> DataFrame:
     """The three free-entered fields as one relation."""
 

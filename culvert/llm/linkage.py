@@ -13,8 +13,10 @@ labels.  Its posterior is the confidence of a candidate.
 
 An asset is one real thing: its most confident observation is its anchor, and all observations of the
 anchor's thing (same plan set, street, kind and position, or the same id where a position is
-missing) pair with the asset.  The confidence of a pair is its own posterior where it was a candidate
-(the largest over its streets), however low, and else, for a pair only propagated, that of the anchor.
+missing) are paired with the asset.  Each of these pairs then votes for itself, candidate before or not, with
+one more function that says how it belongs to the thing, and a second label model, fitted to the pairs
+and to the candidates that belong to no thing, gives its posterior.  That posterior decides and is the
+confidence.  ``consistent`` only limits which candidate may become an anchor.
 
 Edge cases: rows without street, or without both position and tag, have no candidates; null attributes
 abstain; an asset surveyed twice is two assets; ties between anchors go to the smaller
@@ -31,8 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from culvert.functions import units as U
-from culvert.llm.canonical_values import NONE, map_values
-from culvert.operators.units import common_values
+from culvert.llm.canonical_values import code_of
+from culvert.operators.units import factors, noted_units, position_parts, tile_units, unit_and_value
 from culvert.runtime import collect_bounded, durable
 
 #: Street suffixes and their short forms.
@@ -116,28 +118,27 @@ def _tag(text: Column, side: str) -> list[Column]:
     return [F.nullif(number, F.lit("")).alias(f"{side}_number"), F.nullif(F.regexp_replace(t, r"[^A-Z]", ""), F.lit("")).alias(f"{side}_prefix")]
 
 
-def asset_features(assets: DataFrame, kinds: DataFrame) -> DataFrame:
+def asset_features(assets: DataFrame, kind_of) -> DataFrame:
     """Survey assets with position in feet, canonical kind, tag parts and rim level."""
     plus = r"(\d+)\s*\+\s*(\d+)((?:\.\d+)?)"
     minor = F.regexp_extract("chainage", plus, 2)
     # the digits after the plus tell its worth: 2 for hundreds, 3 for thousands
     with_plus = U._double(F.regexp_extract("chainage", plus, 1)) * F.pow(F.lit(10.0), F.length(minor)) + U._double(F.concat(minor, F.regexp_extract("chainage", plus, 3)))
-    station = F.coalesce(with_plus, U.number_of(F.col("chainage"))) * U.length_scale(F.coalesce(U.length_unit_of(F.col("chainage")), F.lit("ft")))
-    sign = F.coalesce(U.side_of(F.col("lateral_txt")), F.when(F.trim("lateral_txt").startswith("-"), F.lit(-1)).otherwise(F.lit(1)))
-    lateral = U.number_of(F.col("lateral_txt")) * sign * U.length_scale(F.coalesce(U.length_unit_of(F.col("lateral_txt")), F.lit("ft")))
-    return assets.join(kinds, "asset_id", "left").select(
+    station = F.coalesce(with_plus, U.number_of("chainage")) * U.length_scale(F.coalesce(U.length_unit_of("chainage"), F.lit("ft")))
+    lateral = U.signed_number("lateral_txt") * U.length_scale(F.coalesce(U.length_unit_of("lateral_txt"), F.lit("ft")))
+    return assets.select(
         "asset_id",
         F.col("street_name").alias("name"),
         station.alias("a_station"),
         lateral.alias("a_lateral"),
-        F.nullif("a_kind", F.lit(NONE)).alias("a_kind"),
+        kind_of(F.col("asset_kind")).alias("a_kind"),
         *_tag(F.col("asset_tag"), "a"),
         F.when(~F.isnan("rim_level"), F.col("rim_level")).alias("a_rim"),
     )
 
 
-def observation_features(structures: DataFrame, tiles: DataFrame, values: DataFrame, kinds: DataFrame) -> DataFrame:
-    """Structure observations with street, position in feet, canonical kind, id parts and rim level."""
+def tile_streets(tiles: DataFrame) -> DataFrame:
+    """``(plan_id, tile_id, base, suffix, tiled)``: the streets of each tile and the units its notes state."""
     streets = (
         tiles.filter("street_names is not null and plan_id is not null and tile_id is not null")
         .select("plan_id", "tile_id", F.explode("street_names").alias("s"))
@@ -146,35 +147,30 @@ def observation_features(structures: DataFrame, tiles: DataFrame, values: DataFr
         .select("plan_id", "tile_id", "p.base", "p.suffix")
         .distinct()
     )
-    at = values.filter("record_kind = 'structure'").groupBy(F.col("record_id").alias("obs_id")).agg(
-        F.max(F.when(F.col("field_name") == "station", F.col("common_value"))).alias("o_station"),
-        F.max(F.when(F.col("field_name") == "offset_txt", F.col("common_value"))).alias("o_lateral"),
-    )
-    rim = F.coalesce("rim_elevation", "tc_elevation", "fl_elevation")
-    base = structures.select("obs_id", "plan_id", "tile_id", *_tag(F.col("id"), "o"), F.when(~F.isnan(rim), rim).alias("o_rim"))
-    return (
-        base.join(at, "obs_id", "left")
-        .join(kinds, "obs_id", "left")
-        .join(streets, ["plan_id", "tile_id"])
-        .select("obs_id", "plan_id", "base", "suffix", "o_station", "o_lateral", F.nullif("o_kind", F.lit(NONE)).alias("o_kind"), "o_number", "o_prefix", "o_rim")
-    )
+    return streets.join(tile_units(tiles).withColumnsRenamed({"t_plan": "plan_id", "t_tile": "tile_id"}), ["plan_id", "tile_id"], "left")
 
 
-def canonical_kinds(rows: DataFrame, id_column: str, text: str, canon: DataFrame, out: str) -> DataFrame:
-    """Canonical structure type of each row, codes of the list included."""
-    typed = rows.select(F.lit("x").alias("record_kind"), F.col(id_column).alias("record_id"), F.lit("structure_type").alias("list_name"), F.col(text).alias("value"))
-    codes = [r["canon_code"] for r in collect_bounded(canon.filter("list_name = 'structure_type'").select("canon_code").distinct(), 10_000, "canonical list")]
-    exact = typed.filter(F.col("value").isin(codes)).select(F.col("record_id").alias(id_column), F.col("value").alias(out))
-    mapped = map_values(typed, canon).select(F.col("record_id").alias(id_column), F.col("canon_code").alias(out))
-    return exact.unionByName(mapped)
+def observation_features(structures: DataFrame, tiles: DataFrame, kind_of, scale_of: dict[str, float]) -> DataFrame:
+    """Structure observations with street, position in feet, canonical kind, id parts and rim level.
+
+    Everything is read in one pass over the observations; the streets and units of their tiles come by one join.
+    """
+    rim = F.coalesce("rim_elevation", "tc_elevation", "fl_elevation")
+    plain = structures.filter("plan_id is not null and tile_id is not null").select(
+        "obs_id", "plan_id", "tile_id", *_tag(F.col("id"), "o"), F.when(~F.isnan(rim), rim).alias("o_rim"), "structure_type", noted_units(F.col("notes")).alias("noted"),
+        U.plain_marks(F.col("station")).alias("_s"), U.plain_marks(F.col("offset_txt")).alias("_o"),
+    )
+    read = plain.select("obs_id", "plan_id", "tile_id", "o_number", "o_prefix", "o_rim", "noted", position_parts("_s", "_o").alias("qs"), kind_of(F.col("structure_type")).alias("o_kind"))
+    placed = read.join(tile_streets(tiles), ["plan_id", "tile_id"]).withColumn("at", F.expr(f"transform(qs, q -> {unit_and_value(scale_of)}.common_value)"))
+    known = lambda i: F.when(~F.isnan(F.col("at")[i]), F.col("at")[i])
+    return placed.select("obs_id", "plan_id", "base", "suffix", known(0).alias("o_station"), known(1).alias("o_lateral"), "o_kind", "o_number", "o_prefix", "o_rim")
 
 
 # ------------------------------------------------------------------------------ candidates and votes
 
 
-def candidates(assets: DataFrame, obs: DataFrame, streets: DataFrame) -> DataFrame:
+def candidates(placed: DataFrame, obs: DataFrame) -> DataFrame:
     """Pairs of the same street and stretch, or of the same street and tag number where one side has no position."""
-    placed = assets.join(streets, "name").select("asset_id", "a_station", "a_lateral", "a_kind", "a_number", "a_prefix", "a_rim", "base", "suffix", "exact")
     low, high = F.floor((F.col("a_station") - REACH) / BUCKET), F.floor((F.col("a_station") + REACH) / BUCKET)
     near = (
         placed.filter("a_station is not null")
@@ -211,13 +207,12 @@ def votes(pairs: DataFrame) -> DataFrame:
 class LabelModel:
     """Latent-class model of vote patterns with a dependency tree of the functions per class."""
 
-    def __init__(self, patterns: dict[tuple, int], rounds: int = 30, smoothing: float = 0.5, least_information: float = 0.02):
+    def __init__(self, patterns: dict[tuple, int], start=None, rounds: int = 30, smoothing: float = 0.5, least_information: float = 0.02):
         self.rows = sorted(patterns.items())
         self.k = len(self.rows[0][0]) if self.rows else 0
         self.values = [sorted({p[j] for p, _ in self.rows}) for j in range(self.k)]
         self.smoothing = smoothing
-        # start from the vote balance, a disagreement weighing more than an agreement
-        q = {p: 1 / (1 + math.exp(-(sum(v for v in p[:-1] if v > 0) + 3 * sum(v for v in p[:-1] if v < 0) - 2.5))) for p, _ in self.rows}
+        q = {p: (start or self._balance)(p) for p, _ in self.rows}
         # the classes are found with independent functions; only what they leave unexplained is then a correlation
         for _ in range(rounds):
             q = self._round(q, [{}, {}])
@@ -225,6 +220,11 @@ class LabelModel:
         for _ in range(5):
             q = self._round(q, parents)
 
+    @staticmethod
+    def _balance(p: tuple) -> float:
+        """Start from the vote balance, a disagreement weighing more than an agreement."""
+        return 1 / (1 + math.exp(-(sum(v for v in p[:-1] if v > 0) + 3 * sum(v for v in p[:-1] if v < 0) - 2.5)))
+
     def _round(self, q: dict, parents: list[dict]) -> dict:
         self.trees = [self._tables(q, c) | {"parent": parents[c]} for c in (0, 1)]
         total = sum(n for _, n in self.rows)
@@ -277,15 +277,16 @@ class LabelModel:
         return 1 / (1 + math.exp(min(max(a - b, -60), 60)))
 
 
-def confident(voted: DataFrame) -> DataFrame:
-    """Adds the posterior ``confidence`` of the label model, fitted to the counts of all vote patterns."""
-    counts = collect_bounded(voted.groupBy(*VOTES).agg(F.count("*").alias("n")), MAX_PATTERNS, "vote patterns")
-    patterns = {tuple(r[v] for v in VOTES): r["n"] for r in counts}
-    spark = voted.sparkSession
-    model = LabelModel(patterns) if patterns else None
-    rows = [(*p, model.posterior(p)) for p in patterns]
-    table = spark.createDataFrame(rows, ", ".join(f"{v} int" for v in VOTES) + ", confidence double")
-    return voted.join(F.broadcast(table), VOTES)
+def pattern_counts(voted: DataFrame, columns: list[str]) -> dict[tuple, int]:
+    """Rows per vote pattern: a bounded table, whatever the size of the data."""
+    counts = collect_bounded(voted.groupBy(*columns).agg(F.count("*").alias("n")), MAX_PATTERNS, "vote patterns")
+    return {tuple(r[v] for v in columns): r["n"] for r in counts}
+
+
+def confident(voted: DataFrame, columns: list[str], posterior: dict[tuple, float]) -> DataFrame:
+    """Adds the posterior of each row's vote pattern as ``confidence``; the table of patterns is bounded."""
+    table = voted.sparkSession.createDataFrame([(*p, x) for p, x in posterior.items()], ", ".join(f"{v} int" for v in columns) + ", confidence double")
+    return voted.join(F.broadcast(table), columns)
 
 
 # ------------------------------------------------------------------------------ things
@@ -328,20 +329,48 @@ def with_known_tags(anchor: DataFrame, sure: DataFrame) -> DataFrame:
     )
 
 
-def link(assets: DataFrame, obs: DataFrame, streets: DataFrame, least: float = 0.1) -> DataFrame:
-    """``(obs_id, asset_id, confidence)`` of all observations of the thing each asset is."""
-    scored = confident(durable(votes(candidates(assets, obs, streets))))
+def link(placed: DataFrame, obs: DataFrame, least: float = 0.1) -> DataFrame:
+    """``(obs_id, asset_id, confidence)`` of all pairs whose posterior is at least ``least``.
+
+    The first model judges the candidates and gives each asset its anchor.  All observations of the anchor's thing are
+    paired with the asset, every such pair votes for itself, and the second model, which knows one more function
+    (how the pair belongs to the anchor's thing: by place, by id, by both or not at all), decides.
+    """
+    voted = durable(votes(candidates(placed, obs)))
+    counts = pattern_counts(voted, VOTES)
+    first = LabelModel(counts) if counts else None
+    scored = confident(voted, VOTES, {p: first.posterior(p) for p in counts})
     # tags are used again along a street: a tag without a station anchors an asset with chainage only if nothing else contradicts, and after those with one
     unplaced = F.col("a_station").isNotNull() & F.col("o_station").isNull()
     sure = scored.filter((F.col("confidence") >= least) & consistent() & (~unplaced | ((F.col("v_kind") == 2) & (F.col("v_lateral") >= 0) & (F.col("v_rim") >= 0))))
     strength = F.struct((~unplaced).alias("p"), "confidence", (F.col("v_tag") + F.col("v_lateral") + F.col("v_rim") + F.col("v_kind") + F.col("v_station")).alias("s"), (-F.coalesce(F.abs(F.col("a_station") - F.col("o_station")), F.lit(0.0))).alias("d"), (-F.col("obs_id")).alias("o"))
-    payload = F.struct("plan_id", "base", "suffix", "o_station", "o_lateral", F.coalesce("o_kind", "a_kind").alias("kind"), F.coalesce("o_number", "a_number").alias("number"), F.coalesce("o_prefix", F.when(F.col("o_number").isNull(), F.col("a_prefix"))).alias("prefix"), "a_station", "a_lateral", "o_rim", "confidence")
+    own = ["a_station", "a_lateral", "a_kind", "a_number", "a_prefix", "a_rim", "exact"]
+    payload = F.struct("plan_id", "base", "suffix", "o_station", "o_lateral", F.coalesce("o_kind", "a_kind").alias("kind"), F.coalesce("o_number", "a_number").alias("number"), F.coalesce("o_prefix", F.when(F.col("o_number").isNull(), F.col("a_prefix"))).alias("prefix"), "o_rim", *own)
     anchor = (
         sure.groupBy("asset_id")
         .agg(F.max_by(payload, strength).alias("t"))
-        .select("asset_id", *[F.col(f"t.{c}").alias(f"t_{c}") for c in ("plan_id", "base", "suffix", "o_station", "o_lateral", "kind", "number", "prefix", "a_station", "a_lateral", "o_rim", "confidence")])
+        .select("asset_id", *[F.col(f"t.{c}").alias(f"t_{c}") for c in ("plan_id", "base", "suffix", "o_station", "o_lateral", "kind", "number", "prefix", "o_rim", "a_station", "a_lateral")], *[f"t.{c}" for c in own])
     )
     anchor = durable(with_known_tags(durable(anchor), sure))
+    pairs = durable(votes(things(anchor, obs)).select("obs_id", "asset_id", *VOTES, "v_thing", "was_candidate"))
+    every = [*VOTES, "v_thing"]
+    seen = pattern_counts(pairs.filter("was_candidate"), VOTES)
+    patterns = pattern_counts(pairs, every)
+    # candidates that belong to no thing are the other class's share of the evidence
+    for p, n in counts.items():
+        left = n - seen.get(p, 0)
+        if left > 0:
+            patterns[*p, -1] = patterns.get((*p, -1), 0) + left
+    second = LabelModel(patterns, start=lambda p: 0.95 if p[-1] > 0 else 0.05) if patterns else None
+    judged = confident(pairs, every, {p: second.posterior(p) for p in patterns})
+    return judged.groupBy("obs_id", "asset_id").agg(F.max("confidence").alias("confidence")).filter(F.col("confidence") >= least)
+
+
+def things(anchor: DataFrame, obs: DataFrame) -> DataFrame:
+    """Pairs of each asset with the observations of its anchor's thing, with ``v_thing``: 1 by id, 2 by place, 3 by both.
+
+    A pair found both ways comes once.  ``was_candidate`` tells whether the blocks had the pair as well.
+    """
     same_kind = F.col("o_kind").isNull() | F.col("t_kind").isNull() | (F.col("o_kind") == F.col("t_kind"))
     side = F.coalesce("t_o_lateral", "t_a_lateral")
     same_side = side.isNull() | F.col("o_lateral").isNull() | (F.abs(side - F.col("o_lateral")) <= 1.3)
@@ -353,26 +382,26 @@ def link(assets: DataFrame, obs: DataFrame, streets: DataFrame, least: float = 0
     prefix_ok = F.col("o_prefix").isNull() | F.col("t_prefix").isNull() | (F.col("o_prefix") == F.col("t_prefix"))
     not_other = ~both_tags | ((F.col("o_number") == F.col("t_number")) & prefix_ok)
     street = (F.col("base") == F.col("t_base")) & (F.col("suffix") == F.col("t_suffix")) & (F.col("plan_id") == F.col("t_plan_id"))
-    # by position
-    stretch = anchor.filter("t_o_station is not null").withColumn("t_bucket", F.explode(F.array_distinct(F.array(F.floor((F.col("t_o_station") - 2) / BUCKET), F.floor((F.col("t_o_station") + 2) / BUCKET)))))
-    placed = obs.filter("o_station is not null").withColumn("bucket", F.floor(F.col("o_station") / BUCKET))
-    by_place = placed.join(stretch, street & (F.col("bucket") == F.col("t_bucket")) & (F.abs(F.col("o_station") - F.col("t_o_station")) <= 2) & same_kind & same_side & not_other)
+    apart = F.abs(F.col("o_station") - F.col("t_o_station"))
+    at_place = F.coalesce((apart <= 2) & same_kind & same_side & not_other, F.lit(False))
     # by id, where the observation or the anchor has no position; the asset's own still holds
     in_reach = F.col("t_o_station").isNotNull() | F.coalesce(F.abs(F.col("o_station") - F.col("t_a_station")) <= REACH, F.lit(True))
-    by_id = obs.filter("o_number is not null").join(
-        anchor.filter("t_number is not null"),
-        street & (F.col("o_number") == F.col("t_number")) & prefix_ok & (F.col("o_station").isNull() | F.col("t_o_station").isNull() | (F.abs(F.col("o_station") - F.col("t_o_station")) <= 4)) & in_reach & same_kind & same_side,
-    )
-    both = by_place.select("obs_id", "asset_id", "t_confidence").unionByName(by_id.select("obs_id", "asset_id", "t_confidence"))
-    own = scored.select("obs_id", "asset_id", F.col("confidence").alias("own"))
-    each = both.unionByName(own, allowMissingColumns=True).groupBy("obs_id", "asset_id").agg(F.max("t_confidence").alias("t_confidence"), F.max("own").alias("own"))
-    return each.filter("t_confidence is not null").select("obs_id", "asset_id", F.coalesce("own", "t_confidence").alias("confidence"))
+    by_tag = (F.col("o_number") == F.col("t_number")) & prefix_ok & (F.col("o_station").isNull() | F.col("t_o_station").isNull() | (apart <= 4)) & in_reach & same_kind & same_side
+    by_tag = F.coalesce(by_tag, F.lit(False))
+    stretch = anchor.filter("t_o_station is not null").withColumn("t_bucket", F.explode(F.array_distinct(F.array(F.floor((F.col("t_o_station") - 2) / BUCKET), F.floor((F.col("t_o_station") + 2) / BUCKET)))))
+    placed = obs.filter("o_station is not null").withColumn("bucket", F.floor(F.col("o_station") / BUCKET))
+    near = placed.join(stretch, street & (F.col("bucket") == F.col("t_bucket")) & at_place).withColumn("v_thing", F.when(by_tag, 3).otherwise(2))
+    named = obs.filter("o_number is not null").join(anchor.filter("t_number is not null"), street & by_tag & (F.col("o_number") == F.col("t_number")) & ~at_place).withColumn("v_thing", F.lit(1))
+    distance = F.abs(F.col("a_station") - F.col("o_station"))
+    was = F.coalesce(distance <= REACH, F.coalesce(F.col("a_number") == F.col("o_number"), F.lit(False)))
+    return near.drop("bucket", "t_bucket").unionByName(named).withColumn("was_candidate", was)
 
 
-def plan_set_links(structures: DataFrame, tiles: DataFrame, pipes: DataFrame, assets: DataFrame, canon: DataFrame) -> DataFrame:
+def plan_set_links(structures: DataFrame, tiles: DataFrame, assets: DataFrame, canon: DataFrame, units_ref: DataFrame | None = None) -> DataFrame:
     """Links of structure observations and surveyed assets."""
-    values = common_values(structures, pipes.limit(0), tiles)
-    obs = durable(observation_features(structures, tiles, values, canonical_kinds(structures, "obs_id", "structure_type", canon, "o_kind")))
-    found = asset_features(assets.filter("street_name is not null"), canonical_kinds(assets, "asset_id", "asset_kind", canon, "a_kind"))
-    streets = match_streets(obs.select("base", "suffix").distinct(), assets.filter("street_name is not null").select(F.col("street_name").alias("name")).distinct())
-    return link(found, obs, streets)
+    kind_of = code_of(canon, "structure_type")
+    obs = durable(observation_features(structures, tiles, kind_of, factors(units_ref)))
+    named = assets.filter("street_name is not null")
+    streets = match_streets(obs.select("base", "suffix").distinct(), named.select(F.col("street_name").alias("name")).distinct())
+    placed = asset_features(named, kind_of).join(streets, "name").select("asset_id", "a_station", "a_lateral", "a_kind", "a_number", "a_prefix", "a_rim", "base", "suffix", "exact")
+    return link(durable(placed), obs)

@@ -58,7 +58,7 @@ def p6_distinct(spark: SparkSession, sf: str) -> DataFrame:
 
 def p7_links(spark: SparkSession, sf: str) -> DataFrame:
     """Links of structure observations and surveyed assets with their confidence."""
-    return linkage.plan_set_links(*[table(spark, sf, t) for t in ("structures", "tiles", "pipes", "surveyed_assets", "canon_values")])
+    return linkage.plan_set_links(*[table(spark, sf, t) for t in ("structures", "tiles", "surveyed_assets", "canon_values", "units_ref")])
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:

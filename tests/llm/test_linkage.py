@@ -39,13 +39,13 @@ def case(spark):
                     aid += 1
                     assets.append({"asset_id": aid, "asset_kind": what, "street_name": street, "chainage": f"{ft + near:.2f}", "lateral_txt": f"{side:+.1f}"})
     odd = [{"asset_id": 1}, {"asset_id": 2, "street_name": "Brookmere Junction"}, {"asset_id": 3, "street_name": "", "chainage": "x" * 20_000}]
-    tables = {n: make(spark, n, r) for n, r in (("structures", obs + [{"obs_id": 10**5}, {"obs_id": 10**5 + 1, "plan_id": "P0", "tile_id": "t0"}]), ("tiles", tiles), ("pipes", []), ("surveyed_assets", assets + odd))}
+    tables = {n: make(spark, n, r) for n, r in (("structures", obs + [{"obs_id": 10**5}, {"obs_id": 10**5 + 1, "plan_id": "P0", "tile_id": "t0"}]), ("tiles", tiles), ("surveyed_assets", assets + odd))}
     tables["structures"] = tables["structures"].withColumn("base", F.lit("x")).withColumn("bucket", F.lit(1)).withColumn("asset_id", F.lit(1))
     return tables, truth
 
 
 def links(spark, t):
-    return L.plan_set_links(t["structures"], t["tiles"], t["pipes"], t["surveyed_assets"], spark.createDataFrame(CANON, "list_name string, canon_code string, title string"))
+    return L.plan_set_links(t["structures"], t["tiles"], t["surveyed_assets"], spark.createDataFrame(CANON, "list_name string, canon_code string, title string"))
 
 
 def test_precision_and_recall(spark, case):
@@ -77,6 +77,11 @@ OBS = "obs_id bigint, plan_id string, base string, suffix string, o_station doub
 ASSET = "asset_id bigint, name string, a_station double, a_lateral double, a_kind string, a_number string, a_prefix string, a_rim double"
 
 
+def placed(spark, assets):
+    streets = spark.createDataFrame([("n", "oak", "drive", True)], "name string, base string, suffix string, exact boolean")
+    return spark.createDataFrame(assets, ASSET).join(streets, "name").drop("name")
+
+
 def test_observations_without_station(spark):
     """A thing seen only without station is found by its tag; one seen with and without, by any of its ids."""
     at = ("P", "oak", "drive")
@@ -87,22 +92,31 @@ def test_observations_without_station(spark):
     obs += [(105, *at, None, 10.0, "CB", "9", "CB", 330.0)]  # another rim level than asset 2002
     assets = [(1000 + i, "n", 1000.4 + 60 * i, 10.1, "CB", None, None, 300.0 + i) for i in range(40)]
     assets += [(2000, "n", 7000.0, None, "CB", "7", "CB", 350.05), (2001, "n", 5000.0, 10.0, "CB", None, None, 360.0), (2002, "n", 8000.0, None, "CB", "9", "CB", 370.0)]
-    streets = spark.createDataFrame([("n", "oak", "drive", True)], "name string, base string, suffix string, exact boolean")
-    got = {r[:2] for r in rows(L.link(spark.createDataFrame(assets, ASSET), spark.createDataFrame(obs, OBS), streets, least=0.0), "obs_id", "asset_id")}  # so few pairs fit no model
+    got = {r[:2] for r in rows(L.link(placed(spark, assets), spark.createDataFrame(obs, OBS), least=0.0), "obs_id", "asset_id")}  # so few pairs fit no model
     assert got == {(i, 1000 + i) for i in range(40)} | {(100, 2000), (102, 2001), (103, 2001), (104, 2001)}
 
 
-def test_confidence_is_that_of_the_pair(spark):
-    """A second observation of the thing has its own posterior; one that was no candidate has the anchor's."""
+def test_every_pair_is_judged_by_its_own_votes(spark):
+    """Observations of one thing have unlike posteriors; one that contradicts everything the asset says falls below the limit."""
     at = ("P", "oak", "drive")
-    obs = [(1, *at, 1000.0, 10.0, "CB", "7", "CB", 300.0), (2, *at, 1000.5, None, None, None, None, 309.0), (3, *at, None, 10.0, "CB", "7", "CB", 300.0)]
-    streets = spark.createDataFrame([("n", "oak", "drive", True)], "name string, base string, suffix string, exact boolean")
-    assets = spark.createDataFrame([(1000, "n", 1000.0, 10.0, "CB", None, None, 300.0)], ASSET)
-    obs = spark.createDataFrame(obs, OBS)
-    got = {r[0]: r[2] for r in rows(L.link(assets, obs, streets, least=0.0), "obs_id", "asset_id", "confidence")}
-    own = {r[0]: r[1] for r in rows(L.confident(L.votes(L.candidates(assets, obs, streets))), "obs_id", "confidence")}
-    assert set(own) == {1, 2} and own[1] != own[2]
-    assert got == {**own, 3: max(own.values())}
+    rng = random.Random(4)
+    obs = [(i, *at, 1000.0 + 60 * i, 10.0, "CB", str(i), "CB", 300.0 + i) for i in range(60)]
+    obs += [(100 + i, *at, 1000.5 + 60 * i, None, None, None, None, 300.0 + i + 9 * (i % 2)) for i in range(30)]
+    assets = placed(spark, [(1000 + i, "n", 1000.0 + 60 * i + rng.gauss(0, 0.4), 10.0, "CB", None, None, 300.0 + i) for i in range(60)])
+    got = {r[:2]: r[2] for r in rows(L.link(assets, spark.createDataFrame(obs, OBS), least=0.0), "obs_id", "asset_id", "confidence")}
+    assert {k for k in got if k[0] < 100} == {(i, 1000 + i) for i in range(60)}
+    assert all(0.0 <= c <= 1.0 for c in got.values())
+    assert {k for k in got if k[0] >= 100} == {(100 + i, 1000 + i) for i in range(30)}
+    assert got[101, 1001] < got[100, 1000]  # another rim level
+
+
+def test_a_pair_found_by_place_and_id_comes_once(spark):
+    at = ("P", "oak", "drive")
+    obs = spark.createDataFrame([(1, *at, 1000.0, 10.0, "CB", "7", "CB", 300.0), (2, *at, None, 10.0, "CB", "7", "CB", 300.0), (3, *at, 1003.0, 10.0, "CB", "7", "CB", 300.0)], OBS)
+    assets = placed(spark, [(1000, "n", 1000.0, 10.0, "CB", None, None, 300.0)])
+    voted = L.votes(L.candidates(assets, obs))
+    anchor = voted.filter("obs_id = 1").select("asset_id", *[F.col(c).alias(f"t_{c}") for c in ("plan_id", "base", "suffix", "o_station", "o_lateral", "o_rim", "a_station", "a_lateral")], F.col("o_kind").alias("t_kind"), F.col("o_number").alias("t_number"), F.col("o_prefix").alias("t_prefix"), "a_station", "a_lateral", "a_kind", "a_number", "a_prefix", "a_rim", "exact")
+    assert rows(L.things(anchor, obs), "obs_id", "v_thing", "was_candidate") == [(1, 3, True), (2, 1, False), (3, 1, True)]
 
 
 def test_empty(spark, case):
