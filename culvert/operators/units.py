@@ -32,7 +32,7 @@ def _part(field: str, number: str, own: str, own_scale: str, unknown: str) -> st
 
 
 def _length_part(field: str, number: str, plain: str) -> str:
-    return _part(field, number, U.length_unit_sql(plain), "null", U.unknown_unit_sql(plain))
+    return U.let(U.length_unit_sql(plain), "o", _part(field, number, "o", "null", f"case when o is null then {U.unknown_unit_sql(plain)} end"))
 
 
 def position_parts(station: str, offset: str) -> Column:
@@ -48,19 +48,19 @@ def recorded_quantities(structures: DataFrame, pipes: DataFrame) -> DataFrame:
     p = pipes.select(F.lit("pipe").alias("record_kind"), F.col("pipe_id").alias("record_id"), *keep, U.plain_marks(F.col("size")).alias("_z"), "slope", "slope_unit", F.when(F.trim("slope_unit") != "", U.slope_unit_of("slope_unit")).alias("_u"))
     unread = "case when _u is null and trim(slope_unit) <> '' then slope_unit end"
     p = p.withColumn("q", F.expr(f"array({_length_part('size', U.number_sql('_z'), '_z')}, {_part('slope', 'slope', '_u.code', '_u.scale', unread)})"))
-    both = s.select("record_kind", "record_id", *keep, "q").unionByName(p.select("record_kind", "record_id", *keep, "q"))
-    return both.withColumn("noted", noted_units(F.col("notes"))).drop("notes")
+    columns = ["record_kind", "record_id", "plan_id", "tile_id", "q"]
+    return s.select(*columns, noted_units(F.col("notes"), "station", "offset_txt").alias("noted")).unionByName(p.select(*columns, noted_units(F.col("notes"), "size", "slope").alias("noted")))
 
 
-def noted_units(notes: Column) -> Column:
-    """Struct of the units a note states, one field per quantity; null where there is no note."""
-    return F.when(notes.isNotNull(), F.struct(*[U.note_unit(notes, f).alias(f) for f in COMMON]))
+def noted_units(notes: Column, *fields: str) -> Column:
+    """Struct of the units a note states, one field per quantity; only ``fields`` are looked for.  Null where there is no note."""
+    return F.when(notes.isNotNull(), F.struct(*[(U.note_unit(notes, f) if f in fields else F.lit(None).cast("string")).alias(f) for f in COMMON]))
 
 
 def tile_units(tiles: DataFrame) -> DataFrame:
     """``(t_plan, t_tile, tiled)``: the units stated by the extraction notes of a tile, one row per tile that states any."""
     stated = tiles.filter("extraction_notes is not null and plan_id is not null and tile_id is not null").select(
-        F.col("plan_id").alias("t_plan"), F.col("tile_id").alias("t_tile"), F.struct("ingested_at", "extracted_at").alias("t_at"), noted_units(F.col("extraction_notes")).alias("u")
+        F.col("plan_id").alias("t_plan"), F.col("tile_id").alias("t_tile"), F.struct("ingested_at", "extracted_at").alias("t_at"), noted_units(F.col("extraction_notes"), *COMMON).alias("u")
     )
     last = [F.max_by(f"u.{f}", F.when(F.col(f"u.{f}").isNotNull(), F.struct("t_at", F.col(f"u.{f}").alias("v")))).alias(f) for f in COMMON]
     return stated.filter(" or ".join(f"u.{f} is not null" for f in COMMON)).groupBy("t_plan", "t_tile").agg(*last).select("t_plan", "t_tile", F.struct(*COMMON).alias("tiled"))
