@@ -157,7 +157,7 @@ def observation_features(structures: DataFrame, tiles: DataFrame, kind_of, scale
     """
     rim = F.coalesce("rim_elevation", "tc_elevation", "fl_elevation")
     plain = structures.filter("plan_id is not null and tile_id is not null").select(
-        "obs_id", "plan_id", "tile_id", *_tag(F.col("id"), "o"), F.when(~F.isnan(rim), rim).alias("o_rim"), "structure_type", noted_units(F.col("notes")).alias("noted"),
+        "obs_id", "plan_id", "tile_id", *_tag(F.col("id"), "o"), F.when(~F.isnan(rim), rim).alias("o_rim"), "structure_type", noted_units(F.col("notes"), "station", "offset_txt").alias("noted"),
         U.plain_marks(F.col("station")).alias("_s"), U.plain_marks(F.col("offset_txt")).alias("_o"),
     )
     read = plain.select("obs_id", "plan_id", "tile_id", "o_number", "o_prefix", "o_rim", "noted", position_parts("_s", "_o").alias("qs"), kind_of(F.col("structure_type")).alias("o_kind"))
