@@ -1,14 +1,15 @@
 """Text decoded with the wrong character encoding: found, and restored where possible.
 
-For every pair (right encoding, wrong encoding) the garbled form of every character is computed
+For UTF-8 and each of 14 wrong encodings the garbled form of every tabled character is computed
 beforehand; a multi-pattern automaton finds these forms in a text, and only the matched spans
-are replaced, so correct text around them stays untouched.  Text garbled twice is
-restored by repeating the pass.  Characters above the kana (CJK ideographs) are part of the
+are replaced, so correct text around them stays untouched.  Text garbled several times is
+restored by repeating the pass until nothing is found.  Characters above the kana (CJK ideographs) are part of the
 table as well, for the encodings in which they occur.
 
 Pairs of two single-byte encodings (Windows Cyrillic read as Western, KOI8 read as Windows Cyrillic, ...)
 garble one character into one character that may be legitimate on its own; they are found by the
-shape of the words they produce and only their words are restored.
+shape of the words they produce and only their words are restored.  Cyrillic encodings read as each other
+are tried pair by pair from the byte tables; two unlikely words at least must become likely Russian ones.
 
 A replacement character (U+FFFD) proves a wrong decoding but cannot be undone: the document
 is found, the character stays.
@@ -20,6 +21,7 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -58,7 +60,8 @@ def garbled_forms() -> dict[str, tuple[str, str]]:
     forms: dict[str, tuple[str, str]] = {}
     for enc in WRONG_FOR_UTF8:
         table = byte_table(enc)
-        for low, high in NARROW_RANGES + (WIDE_RANGES if enc in WIDE else []):
+        # the controls stand for bytes that a decoder could not read, in text garbled more than once
+        for low, high in NARROW_RANGES + (WIDE_RANGES if enc in WIDE else []) + ([(0x80, 0x9F)] if enc in WRONG_FOR_UTF8[:2] else []):
             for code in range(low, high + 1):
                 form = "".join(table[b] for b in chr(code).encode("utf-8"))
                 forms.setdefault(form, (chr(code), enc))
@@ -159,10 +162,68 @@ _POLISH_SURE = re.compile("[A-Za-z\u00c0-\u00ff][³¹¿±¶¼][a-z\u00e0-\u00ff]
 _KOI = re.compile("[а-яё]?[А-ЯЁ]*[а-яё][А-ЯЁ]{2,}[А-ЯЁа-яё]*")
 _CYR_WORD = re.compile("[А-Яа-яЁё]+")
 _CYR = "А-Яа-яЁёІіЅѕЈјҐґЇїЄєЎўЉљЊњЋћЌќЏџЂђЃѓ"
-_MIXED = re.compile(f"(?<=[A-Za-z])[{_CYR}]{{1,3}}(?![{_CYR}])|(?<![{_CYR}])[{_CYR}]{{1,3}}(?=[a-z])|(?<=[0-9])[ЅјѕІ](?![{_CYR}])|(?<![{_CYR}])Ш(?=[0-9])|(?<=[0-9\"”″'’]) Ч (?=[0-9])")
+_MIXED = re.compile(f"(?<=[A-Za-z])[{_CYR}]{{1,3}}(?![{_CYR}])|(?<![{_CYR}])[{_CYR}]{{1,3}}(?=[a-z])|(?<=[0-9])[ЅјѕІ](?![{_CYR}])")
+#: Signs that a western text loses to single letters; a Cyrillic text may well hold such letters, so they prove nothing there.
+_SIGNS = re.compile(f"(?<![{_CYR}])Ш(?=[0-9])|(?<=[0-9\"”″'’]) Ч (?=[0-9])")
 _LONE = re.compile(f"(?<![{_CYR}])[{_CYR}]{{1,3}}(?![{_CYR}])")
 
 
+#: Share of each letter in Russian text, in ten-thousandths.
+LETTER_SHARE = dict(zip("оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё", [1097, 845, 801, 735, 670, 626, 547, 473, 454, 440, 349, 321, 298, 281, 262, 201, 190, 174, 170, 165, 159, 144, 121, 97, 94, 73, 64, 48, 36, 32, 26, 4, 4]))
+CYRILLIC = ["cp1251", "koi8_r", "cp866", "iso8859_5", "mac_cyrillic"]
+
+
+def weight(text: str) -> tuple[float, int]:
+    """Log-likelihood as Russian, in nats, and number of weighed characters; digits and marks that stand beside words anyway are not weighed."""
+    letters = [c for c in text.lower() if not (c.isascii() or c in "№§" or (c in CLOSING and c != "\u00a0"))]
+    return sum(math.log(LETTER_SHARE.get(c, 1) / 10_000) for c in letters), len(letters)
+
+
+def gain(new: str, old: str) -> float:
+    """How much likelier, in nats, one reading is as Russian than the other."""
+    return weight(new)[0] - weight(old)[0]
+
+
+_TOKEN = re.compile(r"[^\x00-\x40\x5b-\x60\x7b-\x7f]{3,}")
+LEAST_GAIN = 10.0
+
+
+@cache
+def _unlikely(token: str) -> bool:
+    w, n = weight(token)
+    return n >= 3 and (w / n < -3.9 or not all(c.isalpha() or c.isascii() or c in CLOSING or c in "№§" for c in token.strip("\u00a0")) or "\u00a0" in token.strip("\u00a0"))
+
+
+def _between_cyrillic(text: str) -> tuple[str, list[str]]:
+    """Cyrillic text read with another Cyrillic encoding: the pair that makes unlikely words likely ones, two at least."""
+    if not re.search("[\u0400-\u04ff]", text):
+        return text, []
+    odd = [t for t in _TOKEN.findall(text) if _unlikely(t)]
+    if len(odd) < 2:
+        return text, []
+    best = (LEAST_GAIN, "", "")
+    for right in CYRILLIC:
+        for wrong in CYRILLIC:
+            if right == wrong:
+                continue
+            total, words = 0.0, 0
+            for t in odd:
+                new = _recode(t, wrong, right)
+                if new is not None and _like_a_word(new) and gain(new, t) >= 2 and not _unlikely(new):
+                    total, words = total + gain(new, t), words + 1
+            if words >= 2 and total > best[0]:
+                best = (total, right, wrong)
+    _, right, wrong = best
+    if not right:
+        return text, []
+
+    def one(m: re.Match) -> str:
+        new = _recode(m.group(), wrong, right)
+        return new if new is not None and gain(new, m.group()) > 0 else m.group()
+
+    return re.sub(r"[^\x00-\x7f]+", one, text), [f"{right} read as {wrong}"]
+
+
 def _like_a_word(text: str) -> bool:
     return text[1:] == text[1:].lower() or text == text.upper()
 
@@ -197,15 +258,13 @@ def _one_for_one(text: str) -> tuple[str, list[str]]:
     return text, used
 
 
-def _after_spans(text: str) -> tuple[str, list[str]]:
-    """What is left when no garbled UTF-8 remains: central European, KOI8, mixed scripts, control characters."""
+def _turned_case(text: str) -> tuple[str, list[str]]:
+    """KOI8 read as Windows Cyrillic turns the case over: lower-case words come out in capitals."""
     used: list[str] = []
-    if _POLISH_SURE.search(text):
-        words = "".join(_POLISH_WORD.findall(text))
-        right = "iso8859_2" if sum(words.count(c) for c in "±¶¼") > sum(words.count(c) for c in "¹œŸ\x9c\x9f") else "cp1250"
-        text = _POLISH_WORD.sub(lambda m: _recode(m.group(), "cp1252", right) or m.group(), text)
-        used.append(f"{right} read as cp1252")
-    if any(sum(c.isupper() for c in w) >= len(w) / 2 and len(w) >= 4 for w in _KOI.findall(text)):
+    odd = [w for w in _KOI.findall(text) if len(w) >= 4 and sum(c.isupper() for c in w) >= len(w) / 2]
+    # the case is turned over in such text; letters must be likelier, too, as names may be written so
+    read = [_recode(w, "cp1251", "koi8_r") or w for w in odd]
+    if odd and sum(map(gain, read, odd)) > 0 and 2 * sum(map(_unlikely, read)) < len(odd):
 
         def koi8(m: re.Match) -> str:
             new = _recode(m.group(), "cp1251", "koi8_r")
@@ -216,29 +275,45 @@ def _after_spans(text: str) -> tuple[str, list[str]]:
         if new_text != text:
             used.append("koi8_r read as cp1251")
             text = new_text
+    return text, used
+
+
+def _after_spans(text: str) -> tuple[str, list[str]]:
+    """What is left when no garbled UTF-8 remains: central European, mixed scripts, control characters."""
+    used: list[str] = []
+    if _POLISH_SURE.search(text):
+        words = "".join(_POLISH_WORD.findall(text))
+        right = "iso8859_2" if sum(words.count(c) for c in "±¶¼") > sum(words.count(c) for c in "¹œŸ\x9c\x9f") else "cp1250"
+        text = _POLISH_WORD.sub(lambda m: _recode(m.group(), "cp1252", right) or m.group(), text)
+        used.append(f"{right} read as cp1252")
     if _MIXED.search(text):
         text = _MIXED.sub(lambda m: _recode(m.group(), "cp1251", "cp1252") or m.group(), text)
         if not re.search(f"[{_CYR}]{{4,}}", text):
             text = _LONE.sub(lambda m: _recode(m.group(), "cp1251", "cp1252") or m.group(), text)
         used.append("cp1252 read as cp1251")
+    if _SIGNS.search(text) and not re.search(f"[{_CYR}]{{3,}}", text) and re.search("[A-Za-z]{3}", text):
+        text = _SIGNS.sub(lambda m: _recode(m.group(), "cp1251", "cp1252") or m.group(), text)
+        used.append("cp1252 read as cp1251")
     if _C1.search(text):
         text = _C1.sub(lambda m: "".join(byte_table("cp1252")[ord(c)] for c in m.group()), text)
         used.append("cp1252 read as latin_1")
     return text, used
 
 
-def restore(text: str | None, passes: int = 4) -> tuple[bool, str | None, list[str]]:
+def restore(text: str | None) -> tuple[bool, str | None, list[str]]:
     """(affected, text with all recognised spans restored, encodings at fault)."""
     if not text or text.isascii():
         return False, text, []
     text, faults = _one_for_one(text)
-    for _ in range(passes):
+    # each pass shortens the text, so this ends however often it was garbled
+    while True:
         text, used = _span_repair().once(text)
         if not used:
             break
         faults += [f"utf_8 read as {e}" for e in dict.fromkeys(used)]
-    text, used = _after_spans(text)
-    faults += used
+    for step in (_turned_case, _between_cyrillic, _after_spans):
+        text, used = step(text)
+        faults += used
     if "\ufffd" in text:
         faults.append("lost characters")
     return bool(faults), text, list(dict.fromkeys(faults))
