@@ -2,11 +2,13 @@
 
 A multi-pattern automaton over canonical codes, titles and aliases finds the mentions embedded in a
 value; mentions must start and end at word boundaries, the longest non-overlapping ones win, and
-the winning mention of the value is its longest.  Values without a mention go to token-set similarity,
-which is blind to word order and tolerant of typing errors.
+the winning mention of the value is its longest that is not denied (``not PVC``).  Values without a
+mention go to token-set similarity: the weighted share of a name's words, typing errors allowed, that the value has in
+whatever order; and words broken or run together are compared by edit distance, all at one parameter,
+``least_similarity``.
 
-Abbreviations of up to three letters (``red.``, ``C.O.``) are too short to be trusted inside a longer
-text; they count only if they are the whole value.
+Abbreviations of up to ``WHOLE_ONLY`` letters (``red.``, ``C.O.``) are too short to be trusted inside a longer text; they
+count if nothing but numbers and words of ``BESIDE`` stands with them (``RCP 24``).
 
 The canonical list is a fixed register (bounded by ``MAX_ENTRIES``) that goes to every worker with
 the function.  The mapping is a narrow stage: values are looked up per Arrow batch, each
@@ -20,6 +22,7 @@ similar entries to the alias that sorts first.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import defaultdict
@@ -82,6 +85,8 @@ ALIASES = {
 
 #: Marks after a value that say existing, new, noted or doubtful.
 _STATUS = re.compile(r"\s+[en]$")
+_DENIED = re.compile(r"(?:^| )(?:not|non|isn t|without)(?: an?)?$")
+_SIZED = re.compile(r"\d+(?:mm|cm|in|ft|m)?|dn\d+")
 
 
 def plain(value: str) -> str:
@@ -112,6 +117,8 @@ class CanonicalMatcher:
     """Maps one value of one list to a canonical code."""
 
     WHOLE_ONLY = 3
+    #: Words that may stand beside a short name without changing what it is.
+    BESIDE = frozenset("pipe pipes class cl type typ dia diam diameter in inch inches ft mm cm m dn id od existing exist ex proposed prop new per std no nr".split())
 
     def __init__(self, entries: list[tuple[str, str]], aliases: dict[str, str], least_similarity: float = 0.8):
         import ahocorasick
@@ -132,10 +139,25 @@ class CanonicalMatcher:
             if len(name.replace(" ", "")) > self.WHOLE_ONLY:
                 self.automaton.add_word(f" {name} ", (len(name) + 2, code))
         for name in self.names:
-            for form in (name, " ".join(sorted(name.split()))):
+            for form in self._orders(name):
                 for g in self._bigrams(form.replace(" ", "")):
                     self.grams[g].add(form)
-        self.form_code = {f: c for n, c in self.names.items() for f in (" ".join(sorted(n.split())), n)}
+        self.longest = max((len(f) for f in self.squeezed), default=0)
+        # names of two words and more, by the set of their words; rarer words weigh more
+        self.word_sets: dict[tuple, str] = {}
+        for name, code in sorted(self.names.items()):
+            key = tuple(sorted(set(name.split())))
+            if len(key) >= 2 and all(len(w) >= 3 for w in key):
+                self.word_sets.setdefault(key, code)
+        self.holders: dict[str, list[tuple]] = defaultdict(list)
+        self.word_grams: dict[str, set[str]] = defaultdict(set)
+        for key in self.word_sets:
+            for w in key:
+                self.holders[w].append(key)
+                for g in self._bigrams(w):
+                    self.word_grams[g].add(w)
+        self.weight = {w: math.log(1 + len(self.word_sets) / len(keys)) for w, keys in self.holders.items()}
+        self.form_code = {f: c for n, c in self.names.items() for f in reversed(self._orders(n))}
         self.automaton.make_automaton()
         self.known: dict[str, str] = {}
 
@@ -143,6 +165,12 @@ class CanonicalMatcher:
     def _token_set(name: str) -> tuple:
         return tuple(sorted(set(re.findall(r"[a-z]+|[0-9]+", name))))
 
+    @staticmethod
+    def _orders(name: str) -> list[str]:
+        """A name and its words in sorted order; initials keep their order, as they are other names in another."""
+        words = name.split()
+        return [name] if any(len(w) == 1 for w in words) else [name, " ".join(sorted(words))]
+
     @staticmethod
     def _bigrams(text: str) -> set[str]:
         return {text[i : i + 2] for i in range(len(text) - 1)}
@@ -156,16 +184,21 @@ class CanonicalMatcher:
         return code
 
     def _find(self, value: str) -> str:
+        return self.stage_of(value)[1]
+
+    def stage_of(self, value: str) -> tuple[str, str]:
+        """The stage that decides (exact, mention, tokens, edits or none) and the code it gives."""
         name = plain(value)
         while name:
-            code = self._exact(name) or self._mention(name) or self._similar(name)
-            if code:
-                return code
+            for stage, find in (("exact", self._exact), ("mention", self._mention), ("mention", self._short), ("tokens", self._tokens), ("edits", self._edits)):
+                code = find(name)
+                if code:
+                    return stage, code
             shorter = _STATUS.sub("", name)
             if shorter == name:
                 break
             name = shorter
-        return NONE
+        return "none", NONE
 
     def _exact(self, name: str) -> str | None:
         return self.names.get(name) or self.squeezed.get(name.replace(" ", "")) or self.token_sets.get(self._token_set(name))
@@ -177,19 +210,46 @@ class CanonicalMatcher:
         for start, end, code in found:  # longest first; neighbours share the blank between them
             if all(end <= s or start >= e for s, e, _ in taken):
                 taken.append((start, end, code))
-        return taken[0][2] if taken else None
-
-    def _similar(self, name: str) -> str | None:
-        if len(name) > 200:
-            name_forms = []
-        else:
-            bare = _STATUS.sub("", name)
-            name_forms = {bare, " ".join(sorted(bare.split()))}
+        return next((code for start, _, code in taken if not _DENIED.search(text[max(0, start - 12) : start])), None)
+
+    def _short(self, name: str) -> str | None:
+        """A short name that stands beside numbers and words without a meaning of their own."""
+        words = [w for w in name.split() if not (w in self.BESIDE or w.isdigit() or _SIZED.fullmatch(w))]
+        return self.names.get(" ".join(words)) if words and len(words) < len(name.split()) else None
+
+    def _tokens(self, name: str) -> str | None:
+        """Token-set similarity: the weighted share of a name's words that the value has, words with typing errors included.
+
+        Names of two words and more are looked up by an inverted index of their words; a word counts for at least
+        ``least`` of its length.  The order and number of the value's other words do not matter.
+        """
+        words = set(name.split())
+        if "not" in words or "non" in words:
+            return None
+        alike: dict[str, float] = {}
+        for w in words:
+            near = {t for g in self._bigrams(w) for t in self.word_grams.get(g, ())} if len(w) >= 5 else ({w} & self.weight.keys())
+            for t in near:
+                most = int((1 - self.least) * max(len(t), len(w)) + 1e-9)
+                d = 0 if t == w else edits(w, t, most)
+                if d <= most:
+                    alike[t] = max(alike.get(t, 0.0), 1 - d / max(len(t), len(w)))
+        best: tuple | None = None
+        for key in {k for t in alike for k in self.holders[t]}:
+            score = sum(self.weight[t] * alike.get(t, 0.0) for t in key) / sum(self.weight[t] for t in key)
+            rank = (-score, -len(key), key)
+            if score >= self.least and all(t in alike for t in key) and (best is None or rank < best):
+                best = rank
+        return self.word_sets[best[2]] if best else None
+
+    def _edits(self, name: str) -> str | None:
+        """Similarity of the words run together, in the given and in sorted order: for words broken or joined by an error."""
+        bare = _STATUS.sub("", name)
         best: tuple | None = None
-        for form in name_forms:
+        for form in self._orders(bare):
             flat = form.replace(" ", "")
-            if len(flat) < 5:
-                continue
+            if len(flat) * self.least > self.longest:
+                continue  # too long to be similar to any name
             votes: dict[str, int] = defaultdict(int)
             for g in self._bigrams(flat):
                 for c in self.grams.get(g, ()):
@@ -197,7 +257,7 @@ class CanonicalMatcher:
             for cand, n in votes.items():
                 target = cand.replace(" ", "")
                 most = 2 if len(target) >= 12 else 1
-                if len(target) < 5 or abs(len(target) - len(flat)) > most or n < len(flat) - 1 - 3 * most - 1:
+                if abs(len(target) - len(flat)) > most or n < len(flat) - 1 - 3 * most - 1:
                     continue
                 d = edits(flat, target, most)
                 if d <= most and 1 - d / max(len(flat), len(target)) >= self.least and (best is None or (d, cand) < best[:2]):
