@@ -265,8 +265,8 @@ class CanonicalMatcher:
         return best[2] if best else None
 
 
-def map_values(values: DataFrame, canon: DataFrame) -> DataFrame:
-    """``(record_kind, record_id, canon_code)`` of rows ``(record_kind, record_id, list_name, value)``."""
+def map_values(values: DataFrame, canon: DataFrame, keep_value: bool = False) -> DataFrame:
+    """``(record_kind, record_id, canon_code)``, and the value if it is to be kept, of rows ``(record_kind, record_id, list_name, value)``."""
     register = collect_bounded(canon.filter("canon_code is not null").select("list_name", "canon_code", "title").orderBy("list_name", "canon_code"), MAX_ENTRIES, "canonical list")
     register = [tuple(r) for r in register]
     exact = {(a, b) for a, b, _ in register}
@@ -284,10 +284,11 @@ def map_values(values: DataFrame, canon: DataFrame) -> DataFrame:
         match = {n: CanonicalMatcher(entries, ALIASES.get(n, {})) for n, entries in by_list.items()}
         for batch in batches:
             codes = [match[n](v) if n in match else NONE for n, v in zip(batch["list_name"], batch["value"])]
-            yield pd.DataFrame({"record_kind": batch["record_kind"], "record_id": batch["record_id"], "canon_code": codes})
+            out = {"record_kind": batch["record_kind"], "record_id": batch["record_id"], "canon_code": codes}
+            yield pd.DataFrame({**out, "value": batch["value"]} if keep_value else out)
 
     kept = values.filter("value is not null").filter(inexact).select("record_kind", "record_id", "list_name", "value")
-    return kept.mapInPandas(run, "record_kind string, record_id bigint, canon_code string")
+    return kept.mapInPandas(run, "record_kind string, record_id bigint, canon_code string" + (", value string" if keep_value else ""))
 
 
 def code_of(canon: DataFrame, list_name: str):

@@ -18,23 +18,21 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 def p3_unmatched(spark: SparkSession, sf: str) -> DataFrame:
     """Values without an entry, with their number of rows per kind."""
     values = canonical_values.typed_values(table(spark, sf, "structures"), table(spark, sf, "callouts"), table(spark, sf, "pipes"))
-    codes = canonical_values.map_values(values, table(spark, sf, "canon_values")).filter("canon_code = 'none'")
-    return codes.join(values.select("record_kind", "record_id", "value"), ["record_kind", "record_id"]).groupBy("record_kind", "value").agg(F.count("*").alias("n"))
-
-
-def _survivors(spark: SparkSession, sf: str) -> DataFrame:
-    return survivors.ranked_survivors(table(spark, sf, "merged_structures"), ["plan_id", "node_id"], survivors.node_fields(), survivors.trust_order(), "merged_id")
+    codes = canonical_values.map_values(values, table(spark, sf, "canon_values"), keep_value=True).filter("canon_code = 'none'")
+    return codes.groupBy("record_kind", "value").agg(F.count("*").alias("n"))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """The row that supplies the surviving value of each field of each node merged more than once."""
-    return _survivors(spark, sf).select("plan_id", "node_id", "field_name", "merged_id")
+    picked = survivors.ranked_survivors(table(spark, sf, "merged_structures"), ["plan_id", "node_id"], survivors.node_fields(), survivors.trust_order(), "merged_id")
+    return picked.select("plan_id", "node_id", "field_name", "merged_id")
 
 
 def p5_survivors(spark: SparkSession, sf: str) -> DataFrame:
     """One surviving record per node merged more than once."""
-    rows = _survivors(spark, sf)
-    return rows.groupBy("plan_id", "node_id").agg(*[F.max(F.when(F.col("field_name") == f, F.col("value"))).alias(f) for f in survivors.node_fields()])
+    records = survivors.surviving_records(table(spark, sf, "merged_structures"), ["plan_id", "node_id"], survivors.record_fields(), survivors.trust_order())
+    lowest = F.round(F.array_min(F.transform("inverts", lambda i: i["elevation"])), 6)
+    return records.withColumn("inverts_count", F.coalesce(F.size("inverts"), F.lit(0))).withColumn("lowest_invert", lowest).drop("inverts")
 
 
 def p5_truth(spark: SparkSession, sf: str) -> DataFrame:
@@ -135,7 +133,26 @@ def _copies_of(kind: str, table_name: str, key: str, loose: list[str]) -> str:
     return f"select '{kind}' record_kind, first_id, id copy_id from (select id, min(id) over (partition by k) first_id from ({stripped})) where id <> first_id"
 
 
+_SURVIVORS = (
+    _P5[: _P5.index(" select plan_id, node_id, 'rim_elevation'")]
+    + " select plan_id, node_id, count(*) records, "
+    + ", ".join(f"arg_min({f}, o) filter ({_says(f)}) {f}" for f in survivors.TEXT_FIELDS)
+    + ", "
+    + ", ".join(f"arg_min({f}, o) filter ({f} is not null) {f}" for f in (*survivors.NUMBER_FIELDS, "is_existing", "page_number"))
+    + f", arg_min(rim_elevation, o) filter ({_HAS['rim_elevation']}) rim_elevation"
+    + ", cast(coalesce(len(arg_min(inverts, o) filter (len(inverts) > 0)), 0) as integer) inverts_count"
+    + ", round(list_min(list_transform(arg_min(inverts, o) filter (len(inverts) > 0), lambda i: i.elevation)), 6) lowest_invert"
+    + " from r where n >= 2 group by 1, 2"
+)
+
+
+def _groups_of(kind: str, table_name: str, key: str, loose: list[str]) -> str:
+    return _copies_of(kind, table_name, key, loose).replace("first_id, id copy_id from", "first_id, count(*) copies from").replace(" where id <> first_id", " group by first_id")
+
+
 ORACLES = {
+    "p5_survivors": _SURVIVORS,
+    "p6_distinct": _groups_of("structure", "structures", "obs_id", ["offset_txt"]) + " union all " + _groups_of("pipe", "pipes", "pipe_id", ["size", "material"]),
     "p5_found": _P5,
     "p6_found": _copies_of("structure", "structures", "obs_id", ["offset_txt"]) + " union all " + _copies_of("pipe", "pipes", "pipe_id", ["size", "material"]),
 }

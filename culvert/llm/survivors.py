@@ -19,7 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from culvert.runtime import durable
+from culvert.runtime import collect_bounded, durable
+
+MAX_SOURCES = 10_000
 
 #: Texts, without case and punctuation, that only say that nothing is known.
 NOTHING_KNOWN = (
@@ -66,6 +68,25 @@ def ranked_survivors(rows: DataFrame, keys: list[str], fields: dict[str, Column]
     return grouped.select(*keys, F.explode(each).alias("_s")).select(*keys, "_s.*").filter(F.col(id_column).isNotNull())
 
 
+def surviving_records(rows: DataFrame, keys: list[str], fields: dict[str, Column], order: Column) -> DataFrame:
+    """One record per group of two or more rows: every field, in its own type, from the most trusted row with a value; ``records`` counts the rows."""
+    typed = rows.dropna(subset=keys).withColumn("_o", order)
+    picks = [F.min_by(F.col(name), F.when(has_value, F.col("_o"))).alias(name) for name, has_value in fields.items()]
+    return typed.groupBy(*keys).agg(F.count("*").alias("records"), *picks).filter("records >= 2")
+
+
+#: Fields of a node record by what makes them a value.
+TEXT_FIELDS = ("structure_type", "station", "offset_txt", "id", "size", "notes")
+NUMBER_FIELDS = ("parsed_station", "signed_offset", "tc_elevation", "fl_elevation")
+
+
+def record_fields() -> dict[str, Column]:
+    """All fields of a node record: texts that say something, numbers, an attested rim level, flags, inverts if there are any."""
+    texts = {f: says_something(F.col(f)) for f in TEXT_FIELDS}
+    numbers = {f: F.col(f).isNotNull() & ~F.isnan(F.col(f)) for f in NUMBER_FIELDS}
+    return {**texts, **numbers, "rim_elevation": attested(F.col("rim_elevation"), F.col("rim_elevation_values")), "is_existing": F.col("is_existing").isNotNull(), "page_number": F.col("page_number").isNotNull(), "inverts": F.size("inverts") > 0}
+
+
 def node_fields() -> dict[str, Column]:
     return {
         "rim_elevation": attested(F.col("rim_elevation"), F.col("rim_elevation_values")),
@@ -80,35 +101,40 @@ def discover_truth(claims: DataFrame, keys: list[str], rounds: int = 50, prior:
     A source's reliability starts at ``prior``; each round gives every value the summed log-odds of
     the sources that claim it, takes the best value per field, and re-estimates each source as the
     smoothed share of its claims that agree.  Claims are first counted per distinct
-    (group, field, source, value).  Lineage is cut each round by a checkpoint of the sources.
+    (group, field, source, value), which is written once; a round reads that table and the register of sources.
     It ends when no reliability changes by more than ``epsilon``; if ``rounds`` are too few for that, it raises.
     """
     unit = [*keys, "field_name"]
     votes = durable(claims.dropna(subset=[*unit, "source", "value"]).groupBy(*unit, "source", "value").agg(F.count("*").alias("n")))
-    sources = votes.select("source").distinct().withColumn("reliability", F.lit(prior))
-    best = None
+    known = {r["source"]: prior for r in collect_bounded(votes.select("source").distinct(), MAX_SOURCES, "sources")}
+    change = 0.0
     for _ in range(rounds):
+        # the register of sources is bounded, so it may go to every worker
+        sources = votes.sparkSession.createDataFrame(sorted(known.items()), "source string, reliability double")
         odds = F.log(F.col("reliability") / (1 - F.col("reliability")))
-        scored = votes.join(sources, "source").groupBy(*unit, "value").agg(F.sum(odds * F.col("n")).alias("support"))
+        scored = votes.join(F.broadcast(sources), "source").groupBy(*unit, "value").agg(F.sum(odds * F.col("n")).alias("support"))
         best = scored.groupBy(*unit).agg(
             F.min_by(F.struct("value", "support"), F.struct((-F.col("support")).alias("s"), F.col("value").alias("v"))).alias("b")
         ).select(*unit, F.col("b.value").alias("value"), F.round("b.support", 6).alias("support"))
         won = votes.join(best.select(*unit, F.col("value").alias("best_value")), unit)
         agree = F.sum(F.when(F.col("value") == F.col("best_value"), F.col("n")).otherwise(0))
-        new = durable(won.groupBy("source").agg(((agree + 2 * prior) / (F.sum("n") + 2)).alias("reliability")))
-        change = new.join(sources.withColumnRenamed("reliability", "old"), "source").agg(F.max(F.abs(F.col("reliability") - F.col("old")))).collect()[0][0]
-        if change is None or change <= epsilon:
+        new = {r["source"]: r["r"] for r in collect_bounded(won.groupBy("source").agg(((agree + 2 * prior) / (F.sum("n") + 2)).alias("r")), MAX_SOURCES, "sources")}
+        change = max((abs(new[s] - known[s]) for s in new), default=0.0)
+        if change <= epsilon:
             return best
-        sources = new
+        known = new
     raise ValueError(f"truth discovery: a reliability still changes by {change} after {rounds} rounds")
 
 
 def node_claims(merged: DataFrame) -> DataFrame:
-    """Claims of merge runs on node fields; a source is a class of rows: sanitized state and number of variants."""
+    """Claims of merge runs on node fields; a source is a class of rows: sanitized state and number of variants.
+
+    A run is no source: there are nearly as many runs as records, so nothing could be learned of one.
+    """
     source = F.concat_ws(
         "/",
         F.coalesce(F.col("sanitized").cast("string"), F.lit("?")),
-        F.coalesce(F.least(F.col("variants_count"), F.lit(9)).cast("string"), F.lit("?")),
+        F.coalesce(F.col("variants_count").cast("string"), F.lit("?")),
     )
     fields = node_fields()
     each = F.array(*[F.struct(F.lit(n).alias("field_name"), F.when(ok, F.col(n).cast(T.StringType())).alias("value")) for n, ok in fields.items()])
