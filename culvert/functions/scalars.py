@@ -181,8 +181,8 @@ def cache_key(*parts: Column) -> Column:
 
 
 def salvage_objects(text: Column) -> Column:
-    """Flat JSON objects inside a broken text."""
-    return F.regexp_extract_all(text, F.lit(r"(\{[^{}]+\})"), F.lit(1))
+    """Flat JSON objects inside a broken text; what looks like one but cannot be read is left out."""
+    return F.filter(F.regexp_extract_all(text, F.lit(r"(\{[^{}]+\})"), F.lit(1)), lambda o: F.json_object_keys(o).isNotNull())
 
 
 def severity_rank(severity: Column) -> Column:

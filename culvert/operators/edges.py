@@ -96,7 +96,7 @@ def orient_by_gravity(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     for a, b in swaps:
         new[a], new[b] = F.when(F.col("_turn"), F.col(b)).otherwise(F.col(a)), F.when(F.col("_turn"), F.col(a)).otherwise(F.col(b))
     new["original_from_node"], new["original_to_node"] = F.when(F.col("_turn"), F.col("from_node")), F.when(F.col("_turn"), F.col("to_node"))
-    t = e.drop("u_representative", "v_representative").join(e.select(*PAIR, turn.alias("_turn")), PAIR).withColumns(new).withColumnRenamed("_turn", "oriented_by_gravity")
+    t = e.withColumn("_turn", turn).drop("u_representative", "v_representative").withColumns(new).withColumnRenamed("_turn", "oriented_by_gravity")
     rest = [c for c in t.columns if c not in PAIR and c != "crown_candidate"]
     # a crown flag of the replaced edge stays
     out = t.groupBy(*PAIR).agg(F.max_by(F.struct(*rest), F.col("oriented_by_gravity").cast("int")).alias("e"), F.bool_or("crown_candidate").alias("crown_candidate"))

@@ -119,12 +119,26 @@ def _side(pipes: DataFrame, nodes: DataFrame, side: str, not_node: Column) -> Da
     return out.withColumnsRenamed({"node": f"{side}_node", "conf": f"{side}_conf"}).drop("ft", "hint", "not_node")
 
 
+def _projected(need: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Requests with the nodes of their page; on pages without nodes, with those of the plan set within reach of a projected end.
+
+    Only nodes within ``INFER_LOW_FT`` can be taken, so requests and nodes of a plan set meet by stretch, never all with all.
+    """
+    step = C.INFER_LOW_FT
+    on_page = need.join(nodes, PAGE)
+    bare = need.join(nodes.select(*PAGE).distinct(), PAGE, "left_anti")
+    ends = F.array(F.col("anchor_ft") + F.col("length_lf"), F.col("anchor_ft") - F.col("length_lf"))
+    reach = F.flatten(F.transform(ends, lambda x: F.sequence(F.floor((x - step) / step), F.floor((x + step) / step))))
+    near = bare.withColumn("stretch", F.explode(F.array_distinct(reach))).join(nodes.drop("page_number").withColumn("stretch", F.floor(F.col("node_ft") / step)), ["plan_id", "utility", "stretch"])
+    return on_page.unionByName(near.select(*on_page.columns))
+
+
 def _inferred(pipes: DataFrame, nodes: DataFrame, missing: str, anchor: str) -> DataFrame:
     """The missing end from the other end's station and the pipe's length: nearest node, first on ties."""
     need = pipes.filter(F.col(f"{missing}_node").isNull() & F.col(f"{anchor}_node").isNotNull() & (F.col("length_lf") > 0))
     at = nodes.select("plan_id", "utility", F.col("node_id").alias("_a"), F.col("node_ft").alias("anchor_ft"))
     need = need.select(*PAGE, "pipe_id", "length_lf", F.col(f"{anchor}_node").alias("anchor")).join(at, (F.col("anchor") == F.col("_a")) & (need.plan_id == at.plan_id) & (need.utility == at.utility)).select(need.plan_id, need.utility, "page_number", "pipe_id", "length_lf", "anchor", "anchor_ft").filter("anchor_ft is not null")
-    c = _candidates(need, nodes).filter("node_id <> anchor and node_ft is not null")
+    c = _projected(need, nodes.filter("node_ft is not null")).filter("node_id <> anchor")
     delta = F.least(F.abs(F.col("node_ft") - F.col("anchor_ft") - F.col("length_lf")), F.abs(F.col("node_ft") - F.col("anchor_ft") + F.col("length_lf")))
     best = c.withColumn("delta", delta).groupBy("plan_id", "utility", "pipe_id").agg(F.min_by(F.struct("node_id", "delta"), F.struct("delta", "node_order")).alias("m"))
     return best.filter(F.col("m.delta") <= C.INFER_LOW_FT).select("plan_id", "utility", "pipe_id", F.col("m.node_id").alias("inferred"), S.inferred_confidence(F.col("m.delta")).alias("inferred_conf"))

@@ -13,11 +13,11 @@ from culvert import config as C
 from culvert.functions import scalars as S
 
 RAW = (
-    "tile_id string, page_number string, sheet_type string, "
-    "structures array<struct<id:string,structure_type:string,size:string,station:string,offset:string,rim_elevation:string,is_existing:string,notes:string,source_text_ids:array<string>,"
+    "tile_id string, page_number string, sheet_type string, utility_types_present array<string>, street_names array<string>, lot_numbers array<string>, extraction_notes string, "
+    "structures array<struct<id:string,structure_type:string,size:string,station:string,offset:string,rim_elevation:string,tc_elevation:string,fl_elevation:string,is_existing:string,notes:string,source_text_ids:array<string>,"
     "inverts:array<struct<direction:string,pipe_size:string,pipe_type:string,elevation:string,source_text_ids:array<string>>>>>, "
-    "pipes array<struct<pipe_type:string,size:string,material:string,length_lf:string,slope:string,source_text_ids:array<string>>>, "
-    "callouts array<struct<callout_type:string,text:string,station:string,source_text_ids:array<string>>>"
+    "pipes array<struct<pipe_type:string,size:string,material:string,length_lf:string,slope:string,slope_unit:string,from_station:string,to_station:string,from_structure_hint:string,to_structure_hint:string,notes:string,source_text_ids:array<string>>>, "
+    "callouts array<struct<callout_type:string,text:string,station:string,offset:string,elevation:string,reference_sheet:string,reference_detail:string,source_text_ids:array<string>>>"
 )
 
 
@@ -42,6 +42,7 @@ def sanitized(payloads: DataFrame) -> DataFrame:
     good_pipe = lambda p: p.isNotNull() & filled(p["pipe_type"]) & filled(p["size"])
     good_callout = lambda c: c.isNotNull() & filled(c["callout_type"]) & filled(c["text"])
     size = lambda c: F.coalesce(F.when(c.isNotNull(), F.size(c)), F.lit(0))
+    with_ids = lambda r: r.withField("source_text_ids", integer_ids(r["source_text_ids"]))
     kept = F.filter("p.structures", good_structure)
     raw_inverts = F.flatten(F.transform(kept, lambda s: F.coalesce(s["inverts"], F.array())))
     clean = F.transform(
@@ -54,8 +55,10 @@ def sanitized(payloads: DataFrame) -> DataFrame:
     return payloads.filter("p is not null").select(
         *[c for c in payloads.columns if c not in ("p", "candidate")],
         clean.alias("structures"),
-        F.filter("p.pipes", good_pipe).alias("pipes"),
-        F.filter("p.callouts", good_callout).alias("callouts"),
+        F.transform(F.filter("p.pipes", good_pipe), with_ids).alias("pipes"),
+        F.transform(F.filter("p.callouts", good_callout), with_ids).alias("callouts"),
+        *[F.col(f"p.{c}").alias(c) for c in ("sheet_type", "utility_types_present", "street_names", "extraction_notes") if c not in payloads.columns],
+        *([integer_ids(F.col("p.lot_numbers")).alias("lot_numbers")] if "lot_numbers" not in payloads.columns else []),
         (size(F.col("p.structures")) - size(kept)).alias("dropped_structures"),
         (size(raw_inverts) - size(F.filter(raw_inverts, good_invert))).alias("dropped_inverts"),
         (size(F.col("p.pipes")) - size(F.filter("p.pipes", good_pipe))).alias("dropped_pipes"),

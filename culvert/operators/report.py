@@ -1,7 +1,7 @@
 """Ordered report relations and the HTML page written from them.
 
 The relations are plain DataFrames; ordering columns are part of them.  Only ``html_report`` brings rows to the
-driver, for one plan set and with a stated bound that raises when it does not hold.
+driver, for one plan set, streamed partition by partition into the file, so the driver never holds a whole table.
 
 Edge cases: absent values are shown as ``-``; records without a station come last; unknown severities rank 99.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import os
 import tempfile
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +19,6 @@ from pyspark.sql import functions as F
 from culvert.functions import scalars as S
 from culvert.runtime import collect_bounded
 
-MAX_ROWS = 20_000
-
 
 def _shown(c: Column) -> Column:
     return F.coalesce(F.nullif(c.cast("string"), F.lit("")), F.lit("-"))
@@ -81,20 +80,23 @@ def batch_totals(tiles: DataFrame) -> DataFrame:
     return tiles.groupBy("plan_id", "model").agg(F.countDistinct("page_number").alias("pages"), F.count("*").alias("tiles"), F.round(F.sum("usage_cost"), 6).alias("total_cost"))
 
 
-def _table(title: str, columns: list[str], rows: list) -> str:
+def _table(title: str, columns: list[str], rows: Iterator) -> Iterator[str]:
+    """The pieces of a table, row by row."""
     esc = lambda v: html.escape("-" if v is None else str(v))
-    head = "".join(f"<th>{esc(c)}</th>" for c in columns)
-    body = "".join("<tr>" + "".join(f"<td>{esc(r[c])}</td>" for c in columns) + "</tr>" for r in rows)
-    return f"<h2>{esc(title)}</h2><table><thead><tr>{head}</tr></thead><tbody>{body or '<tr><td>none</td></tr>'}</tbody></table>"
+    yield f"<h2>{esc(title)}</h2><table><thead><tr>{''.join(f'<th>{esc(c)}</th>' for c in columns)}</tr></thead><tbody>"
+    empty = True
+    for r in rows:
+        empty = False
+        yield "<tr>" + "".join(f"<td>{esc(r[c])}</td>" for c in columns) + "</tr>"
+    yield ("<tr><td>none</td></tr>" if empty else "") + "</tbody></table>"
 
 
-def html_report(network, plan_id: str, path: str) -> str:
-    """The report page of one plan set, written whole or not at all."""
+def _pieces(network, plan_id: str) -> Iterator[str]:
     one = lambda df: df.filter(F.col("plan_id") == plan_id)
-    parts = []
+    yield f"<!doctype html><html><head><meta charset='utf-8'><title>{html.escape(plan_id)}</title></head><body><h1>{html.escape(plan_id)}</h1>"
     q = collect_bounded(one(network.quality), 1, "quality rows")
     if q and q[0]["bad_ratio"] > 0.30:
-        parts.append("<p class='risk'>Extraction quality is low; findings may be incomplete.</p>")
+        yield "<p class='risk'>Extraction quality is low; findings may be incomplete.</p>"
     findings = one(network.findings())
     for title, df, order in (
         ("Findings", findings_report(findings), ["rank", "utility", "finding", "description"]),
@@ -103,10 +105,18 @@ def html_report(network, plan_id: str, path: str) -> str:
         ("Pipes", pipe_schedule(one(network.edges), one(network.nodes)), ["utility", "edge_id"]),
     ):
         columns = [c for c in df.columns if c not in ("plan_id", "rank", "station_ft")]
-        parts.append(_table(title, columns, collect_bounded(df.orderBy(*order), MAX_ROWS, title)))
-    page = f"<!doctype html><html><head><meta charset='utf-8'><title>{html.escape(plan_id)}</title></head><body><h1>{html.escape(plan_id)}</h1>{''.join(parts)}</body></html>"
+        yield from _table(title, columns, df.orderBy(*order).toLocalIterator())
+    yield "</body></html>"
+
+
+def html_report(network, plan_id: str, path: str) -> str:
+    """The report page of one plan set, written whole or not at all; rows are streamed, whatever their number."""
     fd, temporary = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(path)), suffix=".tmp")
-    with os.fdopen(fd, "w", encoding="utf-8") as f:
-        f.write(page)
-    os.replace(temporary, path)
+    try:
+        with os.fdopen(fd, "w", encoding="utf-8") as f:
+            f.writelines(_pieces(network, plan_id))
+        os.replace(temporary, path)
+    except BaseException:
+        os.unlink(temporary)
+        raise
     return path

@@ -304,7 +304,7 @@ ORACLES = {
     "parse_station_offset": f"select obs_id, {station('station')} station_ft, {offset_distance('offset_txt')} distance, {offset_side('offset_txt')} side, {effective_offset('offset_txt')} offset_ft from structures",
     "normalize_tokens": f"select obs_id, {token('structure_type')} token, regexp_replace(translate(lower(trim(coalesce(structure_type,''))),'- ','__'),'[^a-z0-9_]+','','g') label, {size_norm('size')} size_norm, round({diameter('size')},6) diameter_ft, {plain('offset_txt')} plain_offset from structures",
     "page_arguments": "select plan_id, page_number, page_number||','||(page_number+1)||','||(page_number+2)||','||(page_number+5) pages from sheets where page_number is not null",
-    "cache_keys": "select layer_id, substr(sha256(concat_ws('|', coalesce(plan_id,''), coalesce(tile_id,''), coalesce(cast(page_number as varchar),''))),1,16) cache_key from text_layers",
+    "cache_keys": "select layer_id, substr(sha256(cast(json_object('page_number', page_number, 'plan_id', plan_id, 'tile_id', tile_id) as varchar)),1,16) cache_key from text_layers",
     "utility_filter": sql([TILES, OBS], "select obs_id, utility, kind, sanitized from obs"),
     "exact_merge": sql([TILES, OBS, EXACT], f'select plan_id, utility, page_number, kind, structure_type, station, "offset", id, size, rim_elevation, notes, is_existing, sanitized, variants_count, len(inverts) n_inverts, {joined("tile_list")} tiles, {joined("text_list")} texts, len(rim_values) n_rims from exact'),
     "merged_nodes": sql(NODES, f'select plan_id, utility, page_number, node_id, structure_type, station, "offset", id, size, rim_elevation, notes, is_existing, sanitized, variants_count, {joined("tile_list")} tiles, {joined("text_list")} texts, representative, min_coherence from nodes'),
@@ -348,7 +348,7 @@ ORACLES = {
     "pair_layers": "select distinct plan_id, tile_id, case when exists (select 1 from text_layers l where l.plan_id=t.plan_id and l.tile_id=t.tile_id) then 'paired' else 'missing_text_layer' end state from tiles t",
     "page_model_tiers": "select plan_id, page_number, coalesce(arg_max(model_tier, (coalesce(revision,-1), registered_at, coalesce(model_tier,''))),'standard') model_tier from sheets where plan_id is not null and page_number is not null group by 1,2",
     "json_candidate": rf"select raw_id, case when starts_with({_T},'{{') and ends_with({_T},'}}') then {_T} else coalesce(nullif(regexp_extract(payload,'{_CAND}',1),''), case when contains({_T},'{{') and contains({_T},'}}') and length({_T})-instr(reverse({_T}),'}}')+1 > instr({_T},'{{') then substr({_T}, instr({_T},'{{'), length({_T})-instr(reverse({_T}),'}}')+1-instr({_T},'{{')+1) end) end candidate from raw_extractions",
-    "salvaged_objects": r"select raw_id, len(regexp_extract_all(payload,'\{[^{}]+\}')) objects from raw_extractions where payload is not null",
+    "salvaged_objects": r"select raw_id, len(list_filter(regexp_extract_all(payload,'\{[^{}]+\}'), lambda o: json_valid(o))) objects from raw_extractions where payload is not null",
     "prompt_items": "select layer_id, len(list_filter(text_items, lambda i: i is not null and i.text_id is not null and coalesce(length(trim(i.text)),0)>0 and len(i.bbox_local)=4)) n_items from text_layers where text_items is not null",
     "package_artifacts": sql([RECORDS, _ARTIFACTS], "select plan_id, tile_id, status, deliveries, has_layer, has_records, critical, warnings from msgs"),
     "package_report": sql([RECORDS, _ARTIFACTS], f"""select plan_id, artifacts, paired_tiles, sanitized_tiles, skipped_tiles, critical_errors, warnings, round(r,6) bad_ratio, case when critical_errors>0 then 'fail' when warnings>0 then 'warn' else 'pass' end verdict from (select * replace (critical_errors + (r>{C.PACKAGE_FAIL})::int as critical_errors, warnings + (r>{C.PACKAGE_WARN} and r<={C.PACKAGE_FAIL})::int as warnings) from (select *, case when paired_tiles>0 then (sanitized_tiles+skipped_tiles)/paired_tiles else 0.0 end r from

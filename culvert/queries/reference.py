@@ -12,12 +12,19 @@ from culvert.queries import oracles
 from culvert.sources.json_files import pair_with_layers, page_tiers
 from culvert.sources.tables import table
 
-_networks: dict[tuple[str, str], Network] = {}
+_networks: dict[tuple, Network] = {}
+
+
+def _state_of(spark: SparkSession, sf: str) -> tuple:
+    """Names, lengths and times of the folder's files, so that a rewritten folder is another one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
 
 
 def network(spark: SparkSession, sf: str) -> Network:
-    """The network of a folder; the last one built in this session is kept, as many queries look at it."""
-    key = (spark.sparkContext.applicationId, sf)
+    """The network of a folder; the last one built in this session is kept while its files stay the same, as many queries look at it."""
+    key = (spark.sparkContext.applicationId, sf, _state_of(spark, sf))
     if key not in _networks:
         _networks.clear()
         _networks[key] = network_of(spark, sf)
@@ -53,7 +60,7 @@ def page_arguments(spark, sf):
 
 def cache_keys(spark, sf):
     t = table(spark, sf, "text_layers")
-    return t.select("layer_id", F.substring(F.sha2(F.concat_ws("|", F.coalesce("plan_id", F.lit("")), F.coalesce("tile_id", F.lit("")), F.coalesce(F.col("page_number").cast("string"), F.lit(""))), 256), 1, 16).alias("cache_key"))
+    return t.select("layer_id", S.cache_key(F.col("page_number"), F.col("plan_id"), F.col("tile_id")).alias("cache_key"))
 
 
 # ------------------------------------------------------------------------------ merge

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 EXTRACTION_NAME = r"^p\d+_(?:r\d+_c\d+|a\d+)\.json$"
 STATE_NAME = r"^p\d+_(?:r\d+_c\d+|a\d+)\.json\.meta\.json$"
@@ -45,13 +46,25 @@ def loose_files(spark: SparkSession, folder: str, schema: str, skip: tuple[str,
     return df.filter(F.col("_corrupt").isNull() & ~F.col("file_name").endswith(".meta.json") & ~F.col("file_name").isin(*skip)).drop("_corrupt")
 
 
+def _records_before(files: DataFrame, name: str) -> DataFrame:
+    """``(file_name, _before)``: records of the files whose names sort before."""
+    counts = files.groupBy("file_name").agg(F.sum(F.coalesce(F.size(name), F.lit(0))).alias("n")).withColumn("group", F.substring("file_name", 1, 6))
+    groups = counts.groupBy("group").agg(F.sum("n").alias("n"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = groups.select("group", before(W.partitionBy(F.lit(1)).orderBy("group")).alias("_offset"))
+    return counts.select("file_name", "group", before(W.partitionBy("group").orderBy("file_name")).alias("_within")).join(offsets, "group").select("file_name", (F.col("_offset") + F.col("_within")).alias("_before"))
+
+
 def tables_of(extractions: DataFrame, states: DataFrame, plan_id: str) -> dict[str, DataFrame]:
-    """The engine's tables from a folder of extractions, ids in order of file name and position."""
+    """The engine's tables from a folder of extractions, with ids in order of file name and position.
+
+    Records are counted per file; an id is the number of records in the files before plus the position, so no two are
+    the same.  The running sum is over one row a file, in two levels: within groups of names, then over the groups.
+    """
     e = extractions.select("file_name", "tile_id", "page_number", F.lit(plan_id).alias("plan_id"), "sheet_type", "structures", "pipes", "callouts")
-    rank = F.xxhash64("file_name")
     out = {}
     for name, key in (("structures", "obs_id"), ("pipes", "pipe_id"), ("callouts", "callout_id")):
-        t = e.select("plan_id", "tile_id", "page_number", rank.alias("_f"), F.posexplode(name).alias("_pos", "_r")).select("plan_id", "tile_id", "page_number", (F.col("_f").bitwiseAND(F.lit((1 << 40) - 1)) * 4096 + F.col("_pos")).alias(key), "_r.*")
+        t = e.join(_records_before(e, name), "file_name").select("plan_id", "tile_id", "page_number", "_before", F.posexplode(name).alias("_pos", "_r")).select("plan_id", "tile_id", "page_number", (F.col("_before") + F.col("_pos")).alias(key), "_r.*")
         out[name] = t.withColumnRenamed("offset", "offset_txt") if "offset" in t.columns else t
     sheet = e.select("tile_id", "page_number", "sheet_type")
     s = states.select("tile_id", "status", "sanitized", "coherence_score", "model", F.col("usage.cost").alias("usage_cost"))

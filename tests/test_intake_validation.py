@@ -83,13 +83,18 @@ def test_sanitizer(spark):
     body = {
         "tile_id": "", "page_number": None,
         "structures": [{"structure_type": "CB", "station": "1+00", "offset": "5' RT", "source_text_ids": ["1", "x", 2], "is_existing": "yes", "inverts": [{"direction": "E", "pipe_size": '8"', "elevation": 1.0}, {"direction": "E"}, None]}, {"structure_type": "tee", "station": "1+00"}, {"structure_type": "CB", "station": "1+00"}, None, {"station": "1+00"}],
-        "pipes": [{"pipe_type": "SD", "size": '8"'}, {"pipe_type": "SD"}], "callouts": [{"callout_type": "x", "text": " "}],
+        "pipes": [{"pipe_type": "SD", "size": '8"', "from_station": "1+00", "to_structure_hint": "CB-1", "notes": "n", "source_text_ids": [1, "y"]}, {"pipe_type": "SD"}],
+        "callouts": [{"callout_type": "x", "text": " "}, {"callout_type": "x", "text": "t", "elevation": 3.5, "reference_sheet": "C-1", "reference_detail": "D4", "offset": "5 LT"}], "street_names": ["Oak"], "lot_numbers": [4, "x"],
     }
     raw = make(spark, "raw_extractions", [{"raw_id": 1, "record_kind": "extraction", "tile_id": "p7_r0_c0", "payload": f"sure: {json.dumps(body)}"}, {"raw_id": 2, "payload": None}, {"raw_id": 3, "payload": "none"}])
     r = payload.sanitized(payload.parsed(raw)).first()
     assert (r["dropped_structures"], r["dropped_inverts"], r["dropped_pipes"], r["dropped_callouts"]) == (3, 2, 1, 1)
     assert [s["offset"] for s in r["structures"]] == ["5' RT", "0' CL"]
     assert (r["structures"][0]["source_text_ids"], r["structures"][0]["is_existing"]) == ([1, 2], True)
+    p, c = r["pipes"][0], r["callouts"][0]
+    assert (p["from_station"], p["to_structure_hint"], p["notes"], p["source_text_ids"]) == ("1+00", "CB-1", "n", [1])
+    assert (c["elevation"], c["reference_sheet"], c["reference_detail"], c["offset"], c["source_text_ids"]) == ("3.5", "C-1", "D4", "5 LT", [])
+    assert (r["street_names"], r["lot_numbers"]) == (["Oak"], [4])
     assert rows(payload.corrected_metadata(payload.parsed(raw)), "raw_id", "page_number", "corrected_fields") == [(1, 7, ["page_number", "tile_id"])]
 
 
