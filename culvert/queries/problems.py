@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from culvert.functions import units as U
 from culvert.operators import nested, orphan_refs, units
 from culvert.operators.orphan_refs import NOISE_WORDS
 from culvert.sources.tables import table
@@ -104,4 +105,43 @@ _P1_COUNTS = _P1 + f""", o as (
   select case ref_field when 'source_text_ids' then 'structures' else 'callouts' end source_table, ref_field, strftime(tm, '%Y-%m') as month,
     count(*) as "references", cast(sum(case when live then 0 else 1 end) as bigint) orphans from j group by 1, 2, 3"""
 
-ORACLES = {"p1_found": _P1 + "select distinct ref_field, record_id, ref_key from f", "p1_counts": _P1_COUNTS}
+
+def _p4_sql(columns: str, where: str = "") -> str:
+    """Values in common units, written from the data statement: first number, first unit word, notes, tile, register."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    lookup = lambda pairs: "map {" + ", ".join(f"{quote(a)}: {quote(b)}" for a, b in pairs) + "}"
+    words = lookup((w, c) for c, (*_, ws) in U.LENGTH_UNITS.items() for w in ws)
+    slopes = lookup([(w, c) for c, ws in U.SLOPE_WORDS.items() for w in ws] + [("%", "pct"), ("‰", "permil"), ("ft/ft", "frac"), ("m/m", "frac"), ("'/'", "frac"), ("mm/m", "permil"), ("in/ft", "in_per_ft"), ('"/ft', "in_per_ft"), ("in per ft", "in_per_ft")])
+    sizes = lookup(U.SIZE_CODE.items())
+    plain = lambda c: f"replace(translate(lower({c}), '′’‘´`ʹ″”“ʺ', {quote(6 * chr(39) + 4 * chr(34))}), {quote(2 * chr(39))}, {quote(chr(34))})"
+    names = lambda f: "(?:^|[^a-z0-9])" + U.QUANTITY_WORDS[f] + "(?:" + U._LINK + ")+"
+    length = lambda n, f: f"{words}[nullif(regexp_extract({n}, {quote(names(f) + '(' + U._LENGTH_WORD + '|inch|inches)(?:[^a-z]|$)')}, 1), '')]"
+    slope = lambda n: "case " + " ".join(f"when regexp_matches({n}, {quote(names('slope') + u)}) then {quote(c)}" for c, u in U._SLOPE_NOTE.items()) + " end"
+    said = lambda n, f: slope(n) if f == "slope" else length(n, f)
+    number = r"replace(regexp_extract(t, '[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[0-9]+(?:\.[0-9]+)?|\.[0-9]+'), ',', '')"
+    first = f"try_cast(nullif({number}, '') as double)"
+    plus = r"'([0-9]{1,4})\s*\+\s*([0-9]{1,3}(?:\.[0-9]+)?)'"
+    station = f"coalesce(try_cast(nullif(regexp_extract(t, {plus}, 1), '') as double) * 100 + try_cast(nullif(regexp_extract(t, {plus}, 2), '') as double), {first})"
+    side = "case when regexp_matches(t, '(?:^|[^a-z])(?:left|lt|l)(?:gb)?(?:[^a-z]|$)|lt(?:gb)?(?:[^a-z]|$)') then -1 else 1 end"
+    own = f"list_filter(list_transform(regexp_extract_all(t, '[a-z]+|[''\"]'), lambda w: {words}[w]), lambda u: u is not null)[1]"
+    part = lambda kind, key, source, f, num, unit, text: f"select '{kind}' record_kind, {key} record_id, '{f}' field_name, plan_id, tile_id, {num} number, {unit} own, {said('n', f)} noted from (select *, {plain(text)} t, {plain('notes')} n from {source})"
+    parts = [
+        part("structure", "obs_id", "structures", "station", station, own, "station"),
+        part("structure", "obs_id", "structures", "offset_txt", f"{side} * {first}", own, "offset_txt"),
+        part("pipe", "pipe_id", "pipes", "size", first, own, "size"),
+        part("pipe", "pipe_id", "pipes", "slope", "slope", rf"{slopes}[trim(regexp_replace(replace(t, '.', ''), '\s+', ' ', 'g'))]", "slope_unit"),
+    ]
+    tiled = " union all ".join(f"select plan_id, tile_id, '{f}' field_name, arg_max(u, seen) tiled from (select plan_id, tile_id, ingested_at seen, {said(plain('extraction_notes'), f)} u from tiles) where u is not null group by 1, 2" for f in ("station", "offset_txt", "size", "slope"))
+    return f"""with q as ({' union all '.join(parts)}), t as ({tiled}),
+      c as (select record_kind, record_id, field_name, number, coalesce(own, noted, tiled) unit from q left join t using (plan_id, tile_id, field_name) where number is not null and not isnan(number)),
+      k as (select *, coalesce(case when field_name = 'size' then {sizes}[unit] else unit end, case field_name when 'size' then 'size_inch' when 'slope' then 'frac' else 'ft' end) unit_code from c),
+      v as (select k.*, round(case when unit_code = 'one_in_n' then 1 / nullif(number, 0) else number * to_common end, 6) common_value from k left join units_ref using (unit_code))
+    select {columns} from v {where}"""
+
+
+ORACLES = {
+    "p1_found": _P1 + "select distinct ref_field, record_id, ref_key from f",
+    "p1_counts": _P1_COUNTS,
+    "p4_found": _p4_sql("record_kind, record_id, field_name, unit_code", "where unit_code not in ('ft', 'size_inch', 'frac')"),
+    "p4_values": _p4_sql("record_kind, record_id, field_name, number, unit_code, common_value"),
+}
