@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -20,7 +22,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if named:
         sc.setCheckpointDir(named)
     elif sc.master.startswith("local[") or sc.master == "local":
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="culvert-checkpoint-"))
+        own = tempfile.mkdtemp(prefix="culvert-checkpoint-")
+        atexit.register(shutil.rmtree, own, True)
+        sc.setCheckpointDir(own)
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 

@@ -9,6 +9,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def canonical_json(value) -> str:
@@ -20,9 +21,20 @@ def canonical_digest(value) -> str:
     return hashlib.sha256(canonical_json(value).encode("utf-8")).hexdigest()
 
 
+def _sorted_fields(value: Column, kind: T.DataType) -> Column:
+    """The value with the fields of all its objects, at any depth, in alphabetical order."""
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(value.isNotNull(), F.struct(*[_sorted_fields(value[f.name], f.dataType).alias(f.name) for f in fields]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _sorted_fields(x, kind.elementType))
+    return value
+
+
 def canonical_column(df: DataFrame) -> Column:
-    """Canonical JSON of the row: fields in alphabetical order."""
-    return F.to_json(F.struct(*sorted(df.columns)))
+    """Canonical JSON of the row: fields in alphabetical order at every depth, nulls kept."""
+    fields = sorted(df.schema.fields, key=lambda f: f.name)
+    return F.to_json(F.struct(*[_sorted_fields(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in fields]), {"ignoreNullFields": "false"})
 
 
 def write_json(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
@@ -49,3 +61,9 @@ def network_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     n = nodes.select("plan_id", "utility", F.lit("node").alias("part"), F.col("node_id").alias("id"), F.to_json(F.struct(*nodes.columns)).alias("json"))
     e = edges.select("plan_id", "utility", F.lit("edge").alias("part"), F.col("edge_id").alias("id"), F.to_json(F.struct(*edges.columns)).alias("json"))
     return n.unionByName(e)
+
+
+def network_from_json(lines: DataFrame, nodes: T.StructType, edges: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges as ``network_json`` wrote them."""
+    part = lambda name, schema: lines.filter(F.col("part") == name).select(F.from_json("json", schema).alias("r")).select("r.*")
+    return part("node", nodes), part("edge", edges)

@@ -24,7 +24,7 @@ def rebuild_on_delivery(structures: DataFrame, pipes: DataFrame, tiles: DataFram
     """A ``foreachBatch`` function that rebuilds the networks of the plan sets a micro-batch touches."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        touched = F.broadcast(batch.select("plan_id").dropna().distinct())
+        touched = batch.select("plan_id").dropna().distinct()
         only = lambda df: df.join(touched, "plan_id", "left_semi")
         sink(build_network(only(structures), only(pipes), only(tiles)), batch_id)
 

@@ -36,6 +36,8 @@ def test_folder_to_network(spark, folder):
     html = pipeline.report.html_report(n, "P", os.path.join(folder, "r.html"))
     assert "SSMH 52+07.60" in open(html).read().replace("</td><td>", " ")
     line = sinks.network_json(n.nodes, n.edges).filter("part = 'node'").first()["json"]
+    back, _ = sinks.network_from_json(sinks.network_json(n.nodes, n.edges), n.nodes.schema, n.edges.schema)
+    assert rows(back, "node_id", "station_ft") == rows(n.nodes, "node_id", "station_ft")
     assert json.loads(line)["node_id"] == "SS:9:SSMH:5207.60:-6.25"
 
 
@@ -53,6 +55,8 @@ def test_sinks(spark, tmp_path):
     assert json.load(open(path)) == {"a": 1} and os.listdir(tmp_path) == ["x.json"]
     df = spark.createDataFrame([(1, "z")], "b int, a string")
     assert df.select(sinks.canonical_column(df).alias("j")).first()["j"] == '{"a":"z","b":1}'
+    nested = spark.createDataFrame([(None, [(2, "y")])], "z string, a array<struct<q:int,b:string>>")
+    assert nested.select(sinks.canonical_column(nested).alias("j")).first()["j"] == '{"a":[{"b":"y","q":2}],"z":null}'
     sinks.write_json(df, str(tmp_path / "out"), ["b"])
     assert spark.read.json(str(tmp_path / "out")).count() == 1
     digests = json_files.file_digests(spark, path)
