@@ -63,3 +63,21 @@ def test_truth_discovery_ends_when_reliabilities_settle(spark):
     assert S.discover_truth(df, ["plan_id", "node_id"]).filter("value = 'x'").count() == 30
     with pytest.raises(ValueError, match="still changes"):
         S.discover_truth(df, ["plan_id", "node_id"], rounds=1)
+
+
+RECORD = (
+    "merged_id bigint, plan_id string, node_id string, sanitized boolean, variants_count int, merged_at timestamp_ntz, structure_type string, station string, offset_txt string, id string, size string, notes string, "
+    "parsed_station double, signed_offset double, rim_elevation double, tc_elevation double, fl_elevation double, is_existing boolean, page_number int, rim_elevation_values array<double>, inverts array<struct<elevation:double>>"
+)
+
+
+def test_one_record_of_all_fields(spark):
+    def row(i, node, variants, kind, station, size, rim, inverts, parsed=None):
+        return (i, "P", node, False, variants, None, kind, station, None, None, size, None, parsed, None, rim, None, None, None, 1, [3.0], inverts)
+
+    data = [row(1, "n", 1, "CB", "tbd", None, 9.0, []), row(2, "n", None, "MH", "1+00", "8", 3.0, [(1.5,)], float("nan")), row(3, "alone", 1, "CB", None, "8", None, None), row(4, None, 1, "CB", None, "8", None, None)]
+    df = spark.createDataFrame(data, RECORD).withColumn("records", F.lit("x")).withColumn("_o", F.lit("x"))
+    got = S.surviving_records(df, ["plan_id", "node_id"], S.record_fields(), S.trust_order()).collect()
+    assert len(got) == 1 and got[0]["records"] == 2
+    assert (got[0]["structure_type"], got[0]["station"], got[0]["size"], got[0]["rim_elevation"], got[0]["parsed_station"], got[0]["inverts"]) == ("CB", "1+00", "8", 3.0, None, [(1.5,)])
+    assert S.surviving_records(df.limit(0), ["plan_id", "node_id"], S.record_fields(), S.trust_order()).count() == 0
