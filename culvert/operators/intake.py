@@ -29,6 +29,7 @@ SHEET_WORDS = {
     "signing": ["SIGN", "STRIPING", "PAVEMENT MARKING", "TRAFFIC"],
     "erosion": ["EROSION", "SWPPP", "BMP"],
 }
+#: Sheet types that the small and the large model read.
 FAST_TYPES = ("cover", "notes", "demolition", "erosion", "other", "signing_striping")
 PREMIUM_TYPES = ("detail",)
 
@@ -94,11 +95,15 @@ def sheet_type(text: Column, words: dict[str, list[str]] = SHEET_WORDS) -> Colum
     return F.when(best["n"] > 0, best["k"]).otherwise("other")
 
 
+#: Phrases, in a text padded with blanks, that name a utility.
+UTILITY_PHRASES = {"SD": (" SD ", "STORM DRAIN"), "SS": (" SS ", "SANITARY SEWER", "SEWER"), "W": (" W ", " WATER ", "POTABLE WATER")}
+
+
 def utility_types(text: Column) -> Column:
     t = F.upper(F.coalesce(text, F.lit("")))
     padded = F.concat(F.lit(" "), t, F.lit(" "))
     has = lambda *ws: F.exists(F.array(*[F.lit(w) for w in ws]), lambda w: F.contains(padded, w))
-    return F.array_compact(F.array(F.when(has(" SD ", "STORM DRAIN"), "SD"), F.when(has(" SS ", "SANITARY SEWER", "SEWER"), "SS"), F.when(has(" W ", " WATER ", "POTABLE WATER"), "W")))
+    return F.array_compact(F.array(*[F.when(has(*phrases), name) for name, phrases in UTILITY_PHRASES.items()]))
 
 
 def model_tier(kind: Column, coherence: Column) -> Column:

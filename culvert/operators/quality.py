@@ -26,6 +26,7 @@ def quality_summary(records: DataFrame, tiles: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "skipped_low_coherence").alias("skipped_tiles"),
     )
     q = q.withColumn("bad_ratio", (F.col("sanitized_tiles") + F.col("skipped_tiles")) / F.col("total_tiles"))
+    # fixed values: the texts of the warnings
     warnings = F.array_compact(
         F.array(
             F.when(F.col("sanitized_tiles") > 0, F.concat(F.col("sanitized_tiles").cast("string"), F.lit(" tiles had sanitizer recovery"))),
