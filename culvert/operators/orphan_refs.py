@@ -13,8 +13,8 @@ A *target* is ``(ref_field, scope, block, mask, start_at, end_at)``; it is live
 Skew: references are pre-aggregated per key and instant before any shuffle.  Keys holding
 at least ``heavy_share`` of all references are found exactly; there can be no more than
 ``1 / heavy_share`` of them.  Their targets are counted: below ``broadcast_rows`` they are
-broadcast, so the heavy references are never shuffled; above it the heavy references are
-salted and their targets replicated once per salt.  All other keys take part in one shuffle
+broadcast, so the join does not move the heavy references (what is live is then put together by key and
+instant); above it the heavy references are salted and their targets replicated once per salt.  All other keys take part in one shuffle
 anti-join.  The two orphan sets are disjoint by key and are united.
 
 Defined edge cases: null keys and null references are no references; a null ``at`` is not
